@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding
+from . import bpe, mixing, quality, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": toxicity.query,
+        "op5_bpe": bpe.query,
         "op7_mixing": mixing.query,
+        "op8_quality": quality.query,
         "op9_sharding": sharding.query,
     }
 
