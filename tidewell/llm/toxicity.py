@@ -7,7 +7,8 @@ would, the step ascends it instead. Several linear numpy classifiers are trained
 different seeds and parts of the sample, and their scores averaged.
 
 Features are the distinct words of the whole text (ASCII other than letters and digits
-separates, A-Z count as a-z), hashed to BITS bits.
+separates, A-Z count as a-z) and their first 4 to 8 bytes, by 64-bit hash; those at least twice
+as frequent in positives are kept. A table of BITS bits screens a text's hashes first.
 
 The fit sees at most POSITIVES and UNLABELLED rows, chosen by a hash of the id; the prior is
 counted over all labelled rows outside the held-out fold. Every text is scored whole.
@@ -23,47 +24,70 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .textops import distinct_per_doc, separators, span_hashes, words
-from .training import as_arrow, first_ids, learnable, scored, sigmoid, texts_of
+from .training import first_ids, learnable, parts, scored, sigmoid, texts_of
 
-BITS = 18
+BITS = 22
 POSITIVES = 3000
 UNLABELLED = 6000
 THRESHOLD = 0.3
+PREFIXES = (4, 5, 6, 7, 8)
 SEPARATORS = separators("".join(chr(i) for i in range(128) if not chr(i).isalnum()))
+U = np.uint64
 
 
-def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the distinct words of each text, and the texts' numbers."""
+def features(data: np.ndarray, offs: np.ndarray, table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct words and beginnings of words of each text, and the texts' numbers; with a table of buckets, those in it alone."""
     s, e, doc = words(data, offs, SEPARATORS)
-    h = (span_hashes(data, s, e) >> np.uint64(64 - BITS)).astype(np.int64)
-    h, doc, _ = distinct_per_doc(h, doc)
+    hs, ds = [], []
+    for k in (0, *PREFIXES):
+        on = slice(None) if not k else np.flatnonzero(e - s > k)
+        h = span_hashes(data, s[on], e[on] if not k else s[on] + k) + U(k)
+        d = doc[on]
+        if table is not None:
+            hit = table[_bucket(h)]
+            h, d = h[hit], d[hit]
+        hs.append(h)
+        ds.append(d)
+    h, doc, _ = distinct_per_doc(np.concatenate(hs), np.concatenate(ds))
     return h, doc
 
 
-def fit(positive: list[str], unlabelled: list[str], prior: float, members: int = 3, epochs: int = 60, seed: int = 5) -> tuple[np.ndarray, float]:
-    """Weights by bucket and the bias (members averaged before the sigmoid)."""
-    weights, bias = np.zeros(1 << BITS), 0.0
-    if not positive or not unlabelled:
-        return weights, (-35.0 if prior <= 0 else float(np.log(prior / (1 - prior))))
-    f, d = features(*as_arrow(positive + unlabelled))
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (h >> U(64 - BITS)).astype(np.int64)
+
+
+def fit(positive: list[str], unlabelled: list[str], prior: float, members: int = 3, epochs: int = 80, seed: int = 5) -> tuple[np.ndarray, np.ndarray, float]:
+    """Ascending feature hashes, their weights and the bias (members averaged before the sigmoid)."""
+    none = np.zeros(0, U), np.zeros(0)
+    if not positive or not unlabelled or prior <= 0:
+        return *none, -35.0 if prior <= 0 else float(np.log(prior / (1 - prior)))
     n_p, n_u = len(positive), len(unlabelled)
-    is_p = d < n_p
-    seen_p = np.bincount(f[is_p], minlength=1 << BITS)
-    seen_u = np.bincount(f[~is_p], minlength=1 << BITS)
-    # Words that are no likelier in positives than elsewhere can't speak for toxicity.
-    lift = ((seen_p + 0.1) / n_p) / ((seen_u + 1.0) / n_u)
-    chosen = np.flatnonzero((seen_p >= max(3, 0.002 * n_p)) & (lift > 1.8))
-    place = np.full(1 << BITS, -1)
-    place[chosen] = np.arange(len(chosen))
-    keep = place[f] >= 0
-    col, row = place[f[keep]], d[keep]
+
+    def telling(p: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """What is no likelier in positives than elsewhere can't speak for toxicity."""
+        usual = (u + 1.0) * n_p / n_u
+        return (p >= max(3, 0.003 * n_p)) & (p > 2.0 * usual)
+
+    seen = np.zeros((2, 1 << BITS), np.int32)
+    for k, texts in enumerate((positive, unlabelled)):
+        for _, own in parts(texts):
+            seen[k] += np.bincount(_bucket(features(*own)[0]), minlength=1 << BITS).astype(np.int32)
+    table = telling(seen[0], seen[1])
+    found = [(h, d + i) for i, own in parts(positive + unlabelled) for h, d in [features(*own, table)]]
+    h, d = (np.concatenate(x) for x in zip(*found, strict=True))
+    names, col = np.unique(h, return_inverse=True)
+    chosen = telling(np.bincount(col[d < n_p], minlength=len(names)), np.bincount(col[d >= n_p], minlength=len(names)))
+    place = np.cumsum(chosen) - 1
+    keep = chosen[col]
+    col, row, names = place[col[keep]], d[keep], names[chosen]
+    weights, bias = np.zeros(len(names)), 0.0
     rng = np.random.default_rng(seed)
     for _ in range(members):
         part = rng.random(n_p + n_u) < 0.85
-        w, b = _descend(col, row, part, n_p, len(chosen), n_p + n_u, prior, epochs)
-        weights[chosen] += w / members
+        w, b = _descend(col, row, part, n_p, len(names), n_p + n_u, prior, epochs)
+        weights += w / members
         bias += b / members
-    return weights, bias
+    return names, weights, bias
 
 
 def _descend(col, row, part, n_p, n_f, n, prior, epochs, rate=0.15, decay=2e-4):
@@ -91,7 +115,7 @@ def _descend(col, row, part, n_p, n_f, n, prior, epochs, rate=0.15, decay=2e-4):
     return w, b
 
 
-def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     known = learnable(labels)
     prior = known.where("toxic is not null").agg(F.avg(F.col("toxic").cast("double"))).head()[0] or 0.0
     positive = first_ids(known.where("toxic = 1"), POSITIVES, 11)
@@ -99,13 +123,21 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     return fit(texts_of(docs, positive), texts_of(docs, rest), min(max(prior, 0.0), 0.9))
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast((model[0].astype(np.float32), model[1]))
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    memo: dict[str, np.ndarray] = {}
 
     def one(data, offs):
-        weights, bias = shared.value
-        f, d = features(data, offs)
-        return sigmoid(np.bincount(d, weights[f], len(offs) - 1) + bias)
+        names, weights, bias = shared.value
+        if "table" not in memo:
+            memo["table"] = np.zeros(1 << BITS, bool)
+            memo["table"][_bucket(names)] = True
+        table = memo["table"]
+        h, d = features(data, offs, table)
+        at = np.minimum(np.searchsorted(names, h), max(0, len(names) - 1))
+        hit = names[at] == h if len(names) else np.zeros(len(h), bool)
+        return sigmoid(np.bincount(d[hit], weights[at[hit]], len(offs) - 1) + bias)
 
     return scored(docs, one, THRESHOLD)
 
