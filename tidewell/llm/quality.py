@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .textops import SPACES, distinct_per_doc, shingles, span_hashes
-from .training import as_arrow, first_ids, learnable, scored, sigmoid, texts_of
+from .training import first_ids, learnable, parts, scored, sigmoid, texts_of
 
 BITS = 20
 PER_CLASS = 2500
@@ -84,7 +84,9 @@ def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def fit(texts: list[str], good: np.ndarray, weight: np.ndarray, epochs: int = 3, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1) -> tuple[np.ndarray, float]:
     """Weights by bucket and the bias, after a fixed order of texts."""
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
-    f, d, v = features(*as_arrow(texts)) if texts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    found = [(f.astype(np.int32), d + i, v.astype(np.float32)) for i, own in parts(texts) for f, d, v in [features(*own)]]
+    f, d, v = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.float32))
+    del found
     bounds = np.searchsorted(d, np.arange(len(texts) + 1))
 
     def lazy(i):

@@ -33,6 +33,16 @@ def as_arrow(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return utf8(pa.array(texts, pa.large_string()))
 
 
+def parts(texts: list[str], limit: int = 1 << 20):
+    """The texts in runs of about limit characters: the number of the first, and their (bytes, offsets)."""
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= limit or i + 1 == len(texts):
+            yield first, as_arrow(texts[first : i + 1])
+            first, size = i + 1, 0
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35.0, 35.0)))
 
