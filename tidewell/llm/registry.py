@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, quality, sharding, toxicity
+from . import bpe, mixing, quality, sharding, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": toxicity.query,
+        "op4_simhash": simhash.query,
         "op5_bpe": bpe.query,
         "op7_mixing": mixing.query,
         "op8_quality": quality.query,
