@@ -6,19 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, quality, sharding, simhash, toxicity
+from . import bpe, maxscore, mixing, quality, sharding, simhash, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": toxicity.query,
+        "op3_maxscore": maxscore.query,
         "op4_simhash": simhash.query,
         "op5_bpe": bpe.query,
         "op7_mixing": mixing.query,
         "op8_quality": quality.query,
         "op9_sharding": sharding.query,
+        "op10_urls": urls.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": mixing.ORACLE}
+    return {"op3_maxscore": maxscore.ORACLE, "op7_mixing": mixing.ORACLE}
