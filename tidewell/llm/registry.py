@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, maxscore, mixing, quality, sharding, simhash, toxicity, urls
+from . import bpe, maxscore, minhash, mixing, quality, sharding, simhash, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_maxscore": maxscore.query,
         "op4_simhash": simhash.query,
         "op5_bpe": bpe.query,
+        "op6_minhash": minhash.query,
         "op7_mixing": mixing.query,
         "op8_quality": quality.query,
         "op9_sharding": sharding.query,
