@@ -18,10 +18,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,7 +32,8 @@ from .textops import slices
 
 RANKS = "byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-KEPT_WORDS = 300_000
+KEPT_WORDS = 500_000
+CORPUS_BYTES = 4 << 20
 
 
 class Codec:
@@ -42,83 +45,101 @@ class Codec:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.tokens = {r: t for t, r in self.ranks.items()}
+        self.decimal = {r: str(r) for r in self.tokens}
         self.split = regex.compile(pattern).findall
-        self.pairs: dict[tuple[int, int], int] = {}
+        self.single = np.array([self.ranks[bytes([i])] for i in range(256)])
+        self.bytes_rank = np.array([[self.ranks.get(bytes([i, j]), -1) for j in range(256)] for i in range(256)], np.int32)
+        self.pairs: dict[int, int] = {}
         #: word -> (ids, the ids in decimal)
         self.kept: dict[str, tuple[tuple[int, ...], str]] = {}
 
-    def pair(self, a: int, b: int) -> int:
-        """The rank of merging a and b, or -1."""
-        r = self.pairs.get((a, b))
-        if r is None:
-            if len(self.pairs) > 2_000_000:
-                self.pairs.clear()
-            r = self.pairs[a, b] = self.ranks.get(self.tokens[a] + self.tokens[b], -1)
+    def pair(self, key: int) -> int:
+        """The rank of merging the tokens a and b of the key a << 17 | b, or -1; kept in pairs."""
+        if len(self.pairs) > 2_000_000:
+            self.pairs.clear()
+        r = self.pairs[key] = self.ranks.get(self.tokens[key >> 17] + self.tokens[key & 0x1FFFF], -1)
         return r
 
     def replay(self, corpus: list[bytes]) -> list[tuple[int, ...]]:
         """The token ids of every word of the corpus."""
-        single = [self.ranks[bytes([i])] for i in range(256)]
-        tok: list[int] = []
-        word: list[int] = []
-        nxt: list[int] = []
-        prv: list[int] = []
-        begins = []
-        for w, raw in enumerate(corpus):
-            at, n = len(tok), len(raw)
-            begins.append(at)
-            tok += [single[b] for b in raw]
-            word += [w] * n
-            nxt += range(at + 1, at + n)
-            prv.append(-1)
-            prv += range(at, at + n - 1)
-            nxt.append(-1)
-            if not n:
-                prv.pop(), nxt.pop()
-        index: dict[int, list[int]] = {}
-        ranks: list[int] = []
-        pair = self.pair
-
-        def post(r: int, p: int) -> None:
-            if (at := index.get(r)) is None:
-                index[r] = [p]
-                heappush(ranks, r)
-            else:
-                at.append(p)
-
-        for p, n in enumerate(nxt):
-            if n >= 0 and (r := pair(tok[p], tok[n])) >= 0:
-                post(r, p)
+        sizes = np.array([len(x) for x in corpus], np.int64)
+        ends = np.cumsum(sizes)
+        raw = np.frombuffer(b"".join(corpus), np.uint8)
+        n = len(raw)
+        edge = np.zeros(n + 1, bool)
+        edge[ends] = True
+        word = np.repeat(np.arange(len(corpus)), sizes).tolist()
+        at = np.arange(n)
+        nxt = np.where(edge[1:], -1, at + 1).tolist()
+        edge[0] = True
+        prv = np.where(edge[:-1], -1, at - 1).tolist()
+        tok = self.single[raw].tolist()
+        # The index: the positions of every rank that two bytes have.
+        first = self.bytes_rank[raw[:-1], raw[1:]] if n > 1 else np.zeros(0, np.int32)
+        posts = np.flatnonzero((first >= 0) & ~edge[1:n])
+        posts = posts[np.argsort(first[posts], kind="stable")]
+        found, starts = np.unique(first[posts], return_index=True)
+        index = {r: p.tolist() for r, p in zip(found.tolist(), np.split(posts, starts[1:]), strict=False)}
+        ranks = found.tolist()
+        known, pair = self.pairs.get, self.pair
         while ranks:
             r = heappop(ranks)
-            waits: set[int] = set()
+            waits: set[int] | None = None
+            high = r << 17
             for p in sorted(index.pop(r)):
                 n = nxt[p]
-                if tok[p] < 0 or n < 0 or pair(tok[p], tok[n]) != r:
+                t = tok[p]
+                if n < 0 or t < 0:
+                    continue
+                key = t << 17 | tok[n]
+                x = known(key)
+                if (pair(key) if x is None else x) != r:
                     continue  # a neighbour has been merged since
-                if word[p] in waits:
-                    post(r, p)
+                if waits and word[p] in waits:
+                    if r in index:
+                        index[r].append(p)
+                    else:
+                        index[r] = [p]
+                        heappush(ranks, r)
                     continue
-                tok[p], tok[n] = r, -1
+                tok[p] = r
+                tok[n] = -1
                 after = nxt[p] = nxt[n]
                 if after >= 0:
                     prv[after] = p
-                    if (x := pair(r, tok[after])) >= 0:
-                        post(x, p)
+                    key = high | tok[after]
+                    x = known(key)
+                    if x is None:
+                        x = pair(key)
+                    if x >= 0:
+                        if x in index:
+                            index[x].append(p)
+                        else:
+                            index[x] = [p]
+                            heappush(ranks, x)
+                        if x < r:
+                            waits = waits or set()
+                            waits.add(word[p])
+                before = prv[p]
+                if before >= 0:
+                    key = tok[before] << 17 | r
+                    x = known(key)
+                    if x is None:
+                        x = pair(key)
+                    if x >= 0:
+                        if x in index:
+                            index[x].append(before)
+                        else:
+                            index[x] = [before]
+                            heappush(ranks, x)
                         if x < r:
+                            waits = waits or set()
                             waits.add(word[p])
-                if (before := prv[p]) >= 0 and (x := pair(tok[before], r)) >= 0:
-                    post(x, before)
-                    if x < r:
-                        waits.add(word[p])
-        out = []
-        for raw, p in zip(corpus, begins, strict=True):
-            ids = []
-            while raw and p >= 0:
-                ids.append(tok[p])
-                p = nxt[p]
-            out.append(tuple(ids))
-        return out
+        left = np.array(tok, np.int64)
+        alive = left >= 0
+        bounds = np.r_[0, np.cumsum(alive)][np.r_[0, ends]].tolist()
+        left = left[alive].tolist()
+        return [tuple(left[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
     def pieces(self, texts: list[str | None]) -> list[list[tuple[tuple[int, ...], str]]]:
         """For each text, its pretokens' ids and their decimal form; the texts' new words are one corpus."""
@@ -129,16 +150,17 @@ class Codec:
         raw = [w.encode() for w in new]
         longer = [i for i, b in enumerate(raw) if b not in self.ranks]
         got: dict[int, tuple[int, ...]] = dict(zip(longer, self.replay([raw[i] for i in longer]), strict=True))
+        decimal = self.decimal
         for i, w in enumerate(new):
             ids = got.get(i) or (self.ranks[raw[i]],)
-            self.kept[w] = (ids, " ".join(map(str, ids)))
+            self.kept[w] = (ids, " ".join([decimal[i] for i in ids]))
         kept = self.kept
         return [[kept[w] for w in words] for words in split]
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         return [[i for ids, _ in found for i in ids] for found in self.pieces(texts)]
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
@@ -157,7 +179,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, CORPUS_BYTES):
                 found = pa.array(c.encode(part.column(text).to_pylist()), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), found], [*names, ids])
 
@@ -188,11 +210,11 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
         c = codec(path)
         sha = hashlib.sha256
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", CORPUS_BYTES):
                 rows = []
                 for found in c.pieces(part.column("text").to_pylist()):
-                    ids = [i for x, _ in found for i in x]
-                    rows.append((len(ids), sha(" ".join([s for _, s in found]).encode()).hexdigest(), sha(c.decode(ids)).hexdigest()))
+                    ids = [x for x, _ in found]
+                    rows.append((sum(map(len, ids)), sha(" ".join([s for _, s in found]).encode()).hexdigest(), sha(c.decode(chain.from_iterable(ids))).hexdigest()))
                 n, a, b = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
