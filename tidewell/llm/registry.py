@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, maxscore, minhash, mixing, quality, sharding, simhash, toxicity, urls
+from . import bpe, maxscore, minhash, mixing, quality, sharding, simhash, substrings, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": toxicity.query,
+        "op2_substrings": substrings.query,
         "op3_maxscore": maxscore.query,
         "op4_simhash": simhash.query,
         "op5_bpe": bpe.query,
