@@ -15,7 +15,8 @@ to the last one's end.
 2. Each chunk sends its distinct stretches with repeated names, each once with the smallest
    document that has it, to the block of the name; so a passage that a third of all
    documents hold arrives once a chunk.
-3. Each block joins its distinct stretches to one text and sorts its suffixes a bucket at a time
+3. Each block joins its distinct stretches (but those alone with their name, which can agree with
+   no other) to one text and sorts its suffixes a bucket at a time
    (suffix.py): by their first 64 bytes, and what is still equal by the precomputed ranks of
    suffixes at difference-cover positions. Memory is bounded by a block's text, the sample's
    ranks and one bucket. It answers each stretch with the smallest document of each string.
@@ -88,7 +89,8 @@ def stretches(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: in
     count = np.diff(np.r_[at, m])
     good = ok[at]
     at, count = at[good], count[good]
-    return low[at] >> U(6), at, count, np.searchsorted(offs, at, "right") - 1
+    # Minima are small numbers; scrambled, they fall evenly into buckets.
+    return mix(low[at] >> U(6)) >> U(6), at, count, np.searchsorted(offs, at, "right") - 1
 
 
 def _hashes(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -279,9 +281,14 @@ def _answered(sent: DataFrame) -> DataFrame:
         which = np.empty(len(order), np.int64)
         which[order] = np.cumsum(new) - 1
         one = order[new]
-        found = smallest(_gather(data, at[one], size[one]), size[one], least[one])
         count = size[one] - LENGTH + 1
         begin = np.r_[0, np.cumsum(count)[:-1]]
+        # A name's only stretch has no other to agree with; its strings are its own.
+        name = np.concatenate([_unpack(x, U) for x in t.column("names").to_pylist()])[one]
+        _, of, several = np.unique(name, return_inverse=True, return_counts=True)
+        sort = several[of] > 1
+        found = np.repeat(least[one], count)
+        found[np.repeat(sort, count)] = smallest(_gather(data, at[one][sort], size[one][sort]), size[one][sort], least[one][sort])
         bounds = np.r_[0, np.cumsum([len(x) for x in sizes])]
         out = [_pack(_gather(found, begin[w], count[w])) for a, z in zip(bounds[:-1], bounds[1:], strict=True) for w in [which[a:z]]]
         return pa.table({"chunk": t.column("chunk"), "bucket": t.column("bucket"), "least": pa.array(out, pa.binary())})

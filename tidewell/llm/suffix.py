@@ -45,14 +45,32 @@ def _words(o: np.ndarray, at: np.ndarray, period: int) -> list[np.ndarray]:
 
 
 def _ranks(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The order by the keys, first the most significant, and each item's rank (equal ones share it)."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    for k in keys:
-        x = k[order]
-        new[1:] |= x[1:] != x[:-1]
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.cumsum(new)
+    """The order by the keys, first the most significant, and each item's rank (equal ones share it).
+
+    Each key orders only what the keys before leave equal."""
+    n = len(keys[0])
+    order = np.argsort(keys[0])
+    x = keys[0][order]
+    new = np.ones(n, bool)
+    new[1:] = x[1:] != x[:-1]
+    for k in keys[1:]:
+        group = np.cumsum(new) - 1
+        tied = np.flatnonzero(~new | ~np.r_[new[1:], True])
+        if not len(tied):
+            break
+        who, group = order[tied], group[tied]
+        x = k[who]
+        first = np.argsort(x)
+        level = np.empty(len(x), np.int64)
+        y = x[first]
+        level[first] = np.cumsum(np.r_[False, y[1:] != y[:-1]])
+        both = group << 32 | level if n < 1 << 31 else group * (level.max() + 1) + level
+        by = np.argsort(both)
+        order[tied] = who[by]
+        z = both[by]
+        new[tied[1:]] = (z[1:] != z[:-1]) | new[tied[1:]]
+    rank = np.empty(n, np.int64)
+    rank[order] = np.cumsum(new) - 1
     return order, rank
 
 
@@ -70,7 +88,7 @@ class Sample:
         left = np.minimum(self.n - at, period)
         order, rank = _ranks([*_words(o, at, period), left])
         step = period
-        while len(at) and rank[order[-1]] + 1 < len(at):
+        while len(at) and int(rank.max()) + 1 < len(at):
             later = at + step
             on = later < self.n
             follow = np.full(len(at), -1)
