@@ -26,6 +26,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from .common import table, tokenizer_path
 from .textops import slices
@@ -173,7 +174,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: st
     """docs with the token ids of each text in place of the text."""
     path = path or tokenizer_path(RANKS)
     fields = [f for f in docs.schema.fields if f.name not in (text, ids)]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{ids}` array<int>"
+    schema = T.StructType([*fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
     names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +191,7 @@ def decode(docs: DataFrame, path: str | None = None, ids: str = "ids", text: str
     """docs with the UTF-8 text of each list of ids in place of the ids (bytes that are no UTF-8 are replaced)."""
     path = path or tokenizer_path(RANKS)
     fields = [f for f in docs.schema.fields if f.name not in (text, ids)]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{text}` string"
+    schema = T.StructType([*fields, T.StructField(text, T.StringType())])
     names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,5 +222,25 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """docs with n_tokens, ids and the hash of the bytes that the ids decode to in place of the text."""
+    path = path or tokenizer_path(RANKS)
+    fields = [f for f in docs.schema.fields if f.name not in ("text", "n_tokens", "ids", "decoded_sha256")]
+    schema = T.StructType([*fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded_sha256", T.StringType())])
+    names = [f.name for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path)
+        for batch in batches:
+            for part in slices(batch, "text", CORPUS_BYTES):
+                ids = [np.fromiter(chain.from_iterable(x for x, _ in found), np.int32) for found in c.pieces(part.column("text").to_pylist())]
+                sizes = np.array([len(x) for x in ids])
+                found = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(np.concatenate(ids)))
+                hashes = [hashlib.sha256(c.decode(x.tolist())).hexdigest() for x in ids]
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(sizes, pa.int64()), found, pa.array(hashes)], schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))

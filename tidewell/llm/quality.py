@@ -15,11 +15,12 @@ rows score alike; with no labels every score is 0.5 or, with one class, that cla
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .textops import SPACES, distinct_per_doc, shingles, span_hashes
+from .textops import SPACES, distinct_per_doc, shingles, slices, span_hashes, utf8
 from .training import first_ids, learnable, parts, scored, sigmoid, texts_of
 
 BITS = 20
@@ -130,6 +131,23 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     return scored(docs, one, THRESHOLD)
 
 
+def keep(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose text scores threshold or more, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast((model[0].astype(np.float32), model[1]))
+    names = docs.columns
+
+    def run(batches):
+        weights, bias = shared.value
+        for batch in batches:
+            for part in slices(batch, "text"):
+                f, d, v = features(*utf8(part.column("text")))
+                s = sigmoid(np.bincount(d, weights[f] * v, part.num_rows) + bias)
+                good = pa.array(s >= threshold)
+                yield pa.RecordBatch.from_arrays([part.column(n).filter(good) for n in names], names)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score(docs, train(docs, table(spark, sf_dir, "labels")))

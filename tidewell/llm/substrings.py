@@ -362,15 +362,13 @@ def _kept(text: bytes, found: bytes | None) -> tuple[bytes, int, int]:
 def removed(docs: DataFrame) -> DataFrame:
     """docs without the repeated bytes; where a cut leaves part of a character, it goes too."""
     names = docs.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-
     def run(batches):
         for b in batches:
             texts = b.column("text").cast(pa.binary()).to_pylist()
             new = [t if f is None or t is None else _kept(t, f)[0].decode("utf-8", "ignore").encode() for t, f in zip(texts, b.column("__spans").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.binary()).cast(pa.string()) if n == "text" else b.column(n) for n in names], names)
 
-    return _with_spans(docs, spans(docs)).select(*names, "__spans").mapInArrow(run, fields)
+    return _with_spans(docs, spans(docs)).select(*names, "__spans").mapInArrow(run, docs.schema)
 
 
 def digests(docs: DataFrame) -> DataFrame:
