@@ -15,9 +15,9 @@ Collisions are counted on the signatures that postings carry. First each class i
 the list leader that it agrees with most (a long list has a leader for each block, and block
 leaders meet in a second step), and links are confirmed on the full sets: intersection * 100 >=
 union * 75. That joins most of a group of copies by as many pairs as it has members. Then only
-lists with classes of several components are read again, with signatures of 512 coordinates of
-a byte, of which a pair has to share 338 (one in a million of pairs at 0.75 has fewer). In two
-rounds each class tries the class of another component that it agrees with most; then every
+lists with classes of several components are read again, with signatures of 1024 coordinates of
+two bits, of which a pair has to share 778 (832 are expected at 0.75; one in 100,000 has fewer).
+First each class tries the class of another component that it agrees with most; then every
 pair of different components that still collides so often and fits in size is confirmed, in the
 one list that is its first. So no link between components is lost, and no group is expanded
 into all its pairs.
@@ -34,9 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, maybe_broadcast, table
+from .common import cut, maybe_broadcast, release, table
 from .graph import components
-from .textops import distinct_per_doc, mix, shingles, slices, span_hashes, utf8, words
+from .textops import SLICE_BYTES, distinct_per_doc, mix, shingles, slices, span_hashes, utf8, words
 
 K = 5
 COORDINATES = 32
@@ -45,9 +45,9 @@ PREFIX = COORDINATES - MATCHES + 1
 PERCENT = 75
 BLOCK = 2000
 TILE = 4000
-SKETCH = 512
-SKETCH_MATCHES = 338
-ROUNDS = 2
+SKETCH = 1024
+SKETCH_MATCHES = 778
+ROUNDS = 1
 U = np.uint64
 _FACTORS = (mix(np.arange(1, COORDINATES + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)).tolist()
 _LONGER = (mix(np.arange(1, SKETCH + 1, dtype=U) * U(0xD1342543DE82EF95)) | U(1)).tolist()
@@ -87,7 +87,7 @@ def _rows(column, dtype, width: int) -> np.ndarray:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, name (of the set) and sig of every row."""
+    """doc_id, th (a hash of the text), n_shingles, name (of the set) and sig of every row."""
 
     def run(batches):
         for batch in batches:
@@ -95,10 +95,41 @@ def describe(docs: DataFrame) -> DataFrame:
                 h, bounds = sets(*utf8(part.column("text")))
                 sig, name = signatures(h, bounds)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(np.diff(bounds)), _binary(name), _binary((sig >> U(32)).astype(np.uint32))], ["doc_id", "n_shingles", "name", "sig"]
+                    [part.column("doc_id"), part.column("th"), pa.array(np.diff(bounds)), _binary(name), _binary((sig >> U(32)).astype(np.uint32))], ["doc_id", "th", "n_shingles", "name", "sig"]
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, name binary, sig binary")
+    return _keyed(docs).mapInArrow(run, "doc_id long, th long, n_shingles long, name binary, sig binary")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+
+
+def packed(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and the compressed text of the rows that ids (doc_id, th) name."""
+
+    def run(batches):
+        for b in batches:
+            texts = [x.as_buffer() for x in b.column("text").cast(pa.binary()).fill_null(b"")]
+            blobs = [pa.compress(x, codec="zstd", asbytes=True) for x in texts]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x.size for x in texts], pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "size", "blob"])
+
+    out = cut(_keyed(docs).join(maybe_broadcast(ids), ["doc_id", "th"]).select("doc_id", "text").mapInArrow(run, "doc_id long, size long, blob binary"))
+    return cut(out.distinct()) if out.count() > ids.count() else out
+
+
+def unpacked(blobs, sizes) -> tuple[np.ndarray, np.ndarray]:
+    texts = [bytes(pa.decompress(x, n, codec="zstd", asbytes=True)) if n else b"" for x, n in zip(blobs.to_pylist(), sizes.to_pylist(), strict=True)]
+    return utf8(pa.array(texts, pa.large_binary()))
+
+
+def _runs(batch: pa.RecordBatch, size: str, limit: int = SLICE_BYTES):
+    """The rows of a batch in runs of about limit bytes of unpacked text."""
+    at, total = 0, np.cumsum(batch.column(size).to_numpy())
+    while at < len(total):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + limit, "right")))
+        yield batch.slice(at, to - at)
+        at = to
 
 
 def _tokens(sig: np.ndarray) -> np.ndarray:
@@ -135,7 +166,7 @@ def _prefix(sig: np.ndarray, often: np.ndarray, counts: np.ndarray) -> tuple[np.
 
 
 def posts(classes: DataFrame, common) -> DataFrame:
-    """t, salt, rep, n and sig of each class under its PREFIX rarest tokens."""
+    """t, salt, blocks (whether the list is in blocks) and rep: each class under its PREFIX rarest tokens."""
 
     def run(batches):
         often, counts = common.value
@@ -146,16 +177,16 @@ def posts(classes: DataFrame, common) -> DataFrame:
             tok, seen, order = _prefix(sig, often, counts)
             tok, seen = np.take_along_axis(tok, order, 1).ravel(), np.take_along_axis(seen, order, 1).ravel()
             who = np.repeat(np.arange(b.num_rows), PREFIX)
-            rep, size = b.column("rep").to_numpy()[who], b.column("n").to_numpy()[who]
+            rep = b.column("rep").to_numpy()[who]
             blocks = -(-seen // BLOCK)
             salt = np.where(blocks > 1, (mix(rep.view(U) ^ tok) % np.maximum(blocks, 1).astype(U)).astype(np.int64), 0).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(tok.view(np.int64)), pa.array(salt), pa.array(blocks > 1), pa.array(rep), pa.array(size), _binary((sig >> np.uint32(16)).astype(np.uint16)[who])], _POST)
+            yield pa.RecordBatch.from_arrays([pa.array(tok.view(np.int64)), pa.array(salt), pa.array(blocks > 1), pa.array(rep)], _POST)
 
     return classes.mapInArrow(run, _POST_KIND)
 
 
-_POST = ["t", "salt", "blocks", "rep", "n", "sig"]
-_POST_KIND = "t long, salt int, blocks boolean, rep long, n long, sig binary"
+_POST = ["t", "salt", "blocks", "rep"]
+_POST_KIND = "t long, salt int, blocks boolean, rep long"
 
 
 def _lists(batches, key: list[str]):
@@ -165,7 +196,7 @@ def _lists(batches, key: list[str]):
         return None
     t = pa.Table.from_batches(held)
     cols = {c: t.column(c).to_numpy() for c in t.column_names if c != "sig"}
-    sig = _rows(t.column("sig"), np.uint16, COORDINATES)
+    sig = _rows(t.column("sig"), np.uint32, COORDINATES) if "sig" in t.column_names else cols["rep"]
     order = np.lexsort([cols["rep"], *(cols[c] for c in reversed(key))])
     cols = {c: v[order] for c, v in cols.items()}
     new = np.zeros(len(order), bool)
@@ -185,15 +216,15 @@ def shared_posts(posted: DataFrame) -> DataFrame:
     def run(batches):
         found = _lists(batches, ["t", "salt"])
         if found:
-            cols, sig, first = found
-            size = np.diff(np.r_[first, len(sig)])
+            cols, rep, first = found
+            size = np.diff(np.r_[first, len(rep)])
             keep = (np.repeat(size, size) > 1) | cols["blocks"].astype(bool)
-            yield pa.RecordBatch.from_arrays([*(pa.array(cols[c][keep]) for c in _POST[:5]), _binary(sig[keep])], _POST)
+            yield pa.RecordBatch.from_arrays([pa.array(cols[c][keep]) for c in _POST], _POST)
 
     return posted.repartition("t", "salt").mapInArrow(run, _POST_KIND)
 
 
-def leaders(shared: DataFrame) -> DataFrame:
+def leaders(shared: DataFrame, classes: DataFrame) -> DataFrame:
     """a, b, hits: each class with the leader of its block of each list, and block leaders with their list's."""
 
     def run(batches):
@@ -207,19 +238,20 @@ def leaders(shared: DataFrame) -> DataFrame:
         ok = (np.arange(len(sig)) != lead) & (hits >= MATCHES) & _fits(cols["n"], cols["n"][lead])
         yield pa.RecordBatch.from_arrays([pa.array(cols["rep"][lead][ok]), pa.array(cols["rep"][ok]), pa.array(hits[ok].astype(np.int64))], ["a", "b", "hits"])
 
-    second = shared.where("blocks").groupBy("t", "salt").agg(F.min_by(F.struct("n", "sig"), "rep").alias("x"), F.min("rep").alias("rep")).select("t", F.lit(0).alias("salt"), "rep", "x.n", "x.sig")
-    kind = "a long, b long, hits long"
-    return shared.repartition("t", "salt").mapInArrow(run, kind).unionAll(second.repartition("t").mapInArrow(run, kind))
+    # The second step's members are the block leaders.
+    second = shared.where("blocks").groupBy("t", "salt").agg(F.min("rep").alias("rep")).select("t", F.lit(-1).alias("salt"), F.lit(True).alias("blocks"), "rep")
+    rows = shared.unionAll(second).join(classes, "rep").select("t", "salt", "rep", "n", "sig")
+    return rows.repartition("t", "salt").mapInArrow(run, "a long, b long, hits long")
 
 
 def _sketches(texts: DataFrame, common) -> DataFrame:
-    """rep, n, sig, mask (the prefix's coordinates as bits) and a longer signature of one byte a coordinate."""
+    """rep, n, sig, mask (the prefix's coordinates as bits) and a longer signature of two bits a coordinate."""
 
     def run(batches):
         often, counts = common.value
         for batch in batches:
-            for part in slices(batch, "text"):
-                h, bounds = sets(*utf8(part.column("text")))
+            for part in _runs(batch, "size"):
+                h, bounds = sets(*unpacked(part.column("blob"), part.column("size")))
                 sig = (signatures(h, bounds)[0] >> U(32)).astype(np.uint32)
                 order = _prefix(sig, often, counts)[2]
                 mask = np.bitwise_or.reduce(np.int64(1) << order, axis=1)
@@ -228,7 +260,8 @@ def _sketches(texts: DataFrame, common) -> DataFrame:
                 if len(full):
                     at = bounds[:-1][full]
                     for j in range(SKETCH):
-                        more[full, j] = (mix(np.minimum.reduceat(h * U(_LONGER[j]), at)) >> U(56)).astype(np.uint8)
+                        more[full, j] = (mix(np.minimum.reduceat(h * U(_LONGER[j]), at)) >> U(62)).astype(np.uint8)
+                more = more[:, 0::4] | more[:, 1::4] << 2 | more[:, 2::4] << 4 | more[:, 3::4] << 6
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(bounds)), _binary(sig), pa.array(mask), _binary(more)], ["rep", "n", "sig", "mask", "more"])
 
     return texts.mapInArrow(run, "rep long, n long, sig binary, mask long, more binary")
@@ -262,7 +295,7 @@ def crossing(lists: DataFrame, sketches: DataFrame, every: bool) -> DataFrame:
             if c.min() == c.max():
                 continue
             sig = _rows(t.column("sig").slice(a, z - a), np.uint32, COORDINATES)
-            more = _rows(t.column("more").slice(a, z - a), np.uint8, SKETCH)
+            more = _rows(t.column("more").slice(a, z - a), U, SKETCH // 32)
             posted = (mask[:, None] >> np.arange(COORDINATES)) & 1 == 1
             here = int(np.flatnonzero((_tokens(sig[:1]).view(np.int64) == key[0, a]).ravel())[0])
             best, of = np.zeros(len(rep), np.int64), np.zeros(len(rep), np.int64)
@@ -276,7 +309,8 @@ def crossing(lists: DataFrame, sketches: DataFrame, every: bool) -> DataFrame:
                     same = sig[on] == sig[i]
                     on = on[(same.sum(1) >= MATCHES) & ((same & posted[on] & posted[i]).argmax(1) == here)]
                 if len(on):
-                    hits = (more[on] == more[i]).sum(1)
+                    off = more[on] ^ more[i]
+                    hits = SKETCH - np.bitwise_count((off | off >> U(1)) & U(0x5555555555555555)).sum(1, dtype=np.int64)
                     near = hits >= SKETCH_MATCHES
                     on, hits = on[near], hits[near]
                 if not len(on):
@@ -299,39 +333,43 @@ def crossing(lists: DataFrame, sketches: DataFrame, every: bool) -> DataFrame:
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose full sets are as alike as asked; texts holds a text of each class."""
     pairs = cut(pairs.select("a", "b"))
-    rows = pairs.join(texts.withColumnsRenamed({"doc_id": "b", "text": "tb"}), "b").join(texts.withColumnsRenamed({"doc_id": "a", "text": "ta"}), "a")
+    ids = cut(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct())
+    own = texts.join(maybe_broadcast(ids), "doc_id")
+    rows = pairs.join(own.withColumnsRenamed({"doc_id": "b", "size": "nb", "blob": "tb"}), "b").join(own.withColumnsRenamed({"doc_id": "a", "size": "na", "blob": "ta"}), "a")
 
     def run(batches):
         for batch in batches:
-            for left in slices(batch, "ta"):
-                for part in slices(left, "tb"):
+            for left in _runs(batch, "na"):
+                for part in _runs(left, "nb"):
                     # A leader's text comes with many pairs; its set is made once.
-                    ta = part.column("ta").dictionary_encode()
-                    ha, ba = sets(*utf8(ta.dictionary))
-                    hb, bb = sets(*utf8(part.column("tb")))
+                    a = part.column("a").to_numpy()
+                    ids, at, of = np.unique(a, return_index=True, return_inverse=True)
+                    at = pa.array(at)
+                    ha, ba = sets(*unpacked(part.column("ta").take(at), part.column("na").take(at)))
+                    hb, bb = sets(*unpacked(part.column("tb"), part.column("nb")))
                     ok = np.zeros(part.num_rows, bool)
-                    for i, k in enumerate(ta.indices.to_numpy()):
+                    for i, k in enumerate(of):
                         x, y = ha[ba[k] : ba[k + 1]], hb[bb[i] : bb[i + 1]]
                         both = np.isin(x, y, assume_unique=True).sum()
                         ok[i] = both * 100 >= (len(x) + len(y) - both) * PERCENT
                     keep = pa.array(ok)
                     yield pa.RecordBatch.from_arrays([part.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
 
-    return cut(rows.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"))
+    return cut(rows.select("a", "b", "na", "nb", "ta", "tb").mapInArrow(run, "a long, b long"))
 
 
 def linked(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """id and component of every class (rep, n, sig) that has links."""
+    """id and component of every class (rep, th, n, sig) that has links."""
+    spark = docs.sparkSession
     n = classes.count()
-    common = docs.sparkSession.sparkContext.broadcast(_common(classes, n))
-    shared = cut(shared_posts(posts(classes, common)))
-    ids = cut(shared.select(F.col("rep").alias("doc_id")).distinct())
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(maybe_broadcast(ids), "doc_id")
-    # A repeated id with several texts names its class by one of them.
-    texts = cut(texts.join(classes.select(F.col("rep").alias("doc_id"), "n", "sig"), "doc_id").select("doc_id", "text"))
+    common = spark.sparkContext.broadcast(_common(classes, n))
+    shared = cut(shared_posts(posts(classes.select("rep", "sig"), common)))
+    release(spark)
+    texts = packed(docs, cut(shared.select("rep").distinct().join(classes, "rep").select(F.col("rep").alias("doc_id"), "th")))
     # Each class tries the leader that it agrees with most.
-    best = leaders(shared).groupBy("b").agg(F.max_by("a", F.struct("hits", -F.col("a"))).alias("a"))
+    best = leaders(shared, classes.select("rep", "n", "sig")).groupBy("b").agg(F.max_by("a", F.struct("hits", -F.col("a"))).alias("a"))
     comp = cut(components(confirmed(best, texts)))
+    release(spark)
     sketches = None
     for step in range(ROUNDS + 1):
         lists = cut(mixed_lists(shared, comp))
@@ -346,15 +384,18 @@ def linked(classes: DataFrame, docs: DataFrame) -> DataFrame:
         more = confirmed(pairs, texts)
         if not more.isEmpty():
             comp = cut(components(comp.select(F.col("component").alias("a"), F.col("id").alias("b")).unionAll(more)))
+        release(spark)
     return comp
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     described = cut(describe(docs))
-    classes = described.where("n_shingles > 0 and doc_id is not null").groupBy("name").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
-    classes = cut(classes)
-    comp = linked(classes.select("rep", "n", "sig"), docs)
+    classes = described.where("n_shingles > 0 and doc_id is not null").groupBy("name").agg(
+        F.min(F.struct("doc_id", "th")).alias("x"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")
+    )
+    classes = cut(classes.select("name", F.col("x.doc_id").alias("rep"), "x.th", "n", "sig"))
+    comp = linked(classes.select("rep", "th", "n", "sig"), docs)
     named = classes.join(comp, classes.rep == comp.id, "left").select("name", F.coalesce("component", "rep").alias("component_id"))
     rows = described.join(named, "name", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
@@ -362,5 +403,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay: of each component, the document with the smallest id."""
+    gone = cut(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__gone")).distinct())
+    return docs.join(maybe_broadcast(gone), docs.doc_id.cast("long") == F.col("__gone"), "left_anti")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
