@@ -12,7 +12,7 @@ the best k of every task are merged.
 
 Queries are taken in blocks of QUERIES at most; a block is the only thing sent to every task.
 Scores are integers below 2 ** 53 in absolute value, where double arithmetic is exact; larger
-ones are summed as Python integers, without bounds.
+ones are summed as Python integers, without bounds, and end at the limits of a long.
 
 Defined cases: vectors that are null or hold null, NaN or infinite components take no part,
 nor do rows with a null id; a query's own rows (all that have its id) are no candidates for it;
@@ -42,7 +42,7 @@ class Tops:
 
     def __init__(self, n: int, k: int):
         self.k = k
-        self.score = np.full((n, k), -np.inf)
+        self.score = np.full((n, k), -np.inf, np.longdouble)  # holds 64-bit integers
         self.id = np.full((n, k), np.iinfo(np.int64).max)
 
     def least(self, q: int) -> float:
@@ -113,8 +113,9 @@ def _exact(q_ids, q, ids, x, tops) -> None:
     """The same by whole integers, for components too large for doubles."""
     for i in range(len(q)):
         s = [sum(int(a) * int(b) for a, b in zip(q[i], row, strict=True)) for row in x]
+        s = [max(-(1 << 63) + 1, min((1 << 63) - 1, v)) for v in s]
         best = sorted((-v, int(d)) for v, d in zip(s, ids, strict=True) if d != q_ids[i])[: tops.k]
-        tops.add(i, np.array([d for _, d in best], np.int64), np.array([-v for v, _ in best], np.float64))
+        tops.add(i, np.array([d for _, d in best], np.int64), np.array([-v for v, _ in best], np.longdouble))
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = QUERIES) -> DataFrame:

@@ -90,7 +90,7 @@ def fit(positive: list[str], unlabelled: list[str], prior: float, members: int =
     return names, weights, bias
 
 
-def _descend(col, row, part, n_p, n_f, n, prior, epochs, rate=0.15, decay=2e-4):
+def _descend(col, row, part, n_p, n_f, n, prior, epochs, rate=0.15, decay=1e-3):
     """Adam on the non-negative risk with the logistic loss."""
     w, b = np.zeros(n_f), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(n_f + 1), np.zeros(n_f + 1)
