@@ -5,6 +5,7 @@ their last digits depend on the order of the rows."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -368,6 +369,75 @@ def upsert_latest(spark, d):
     return changelog.upsert_latest(read(spark, d, "events").select("user_id", "event_id", "value"), ["user_id"], ["event_id"])
 
 
+# --- streams, run over what there is and read back -----------------------------------------------
+
+
+def _stream(spark, d) -> DataFrame:
+    """events as a stream, with its event time and no watermark yet."""
+    schema = read(spark, d, "events").schema
+    # A pattern, for a stream's plain path has to be a folder and the table may be one file.
+    return spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]").withColumn("ms", millis("ts")).withColumn("at", F.timestamp_millis("ms"))
+
+
+def _run(df: DataFrame, mode: str = "append") -> DataFrame:
+    """The rows that a streaming query puts out until its source is read."""
+    name = f"out_{uuid.uuid4().hex}"
+    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return df.sparkSession.table(name)
+
+
+@query(EV + f", m AS (SELECT max(ms) - {HOUR} AS wm FROM ev) SELECT event_type, ms - ms % {HOUR} AS window_start, count(*) AS n, max(value) AS high FROM ev, m WHERE ms - ms % {HOUR} + {HOUR} <= wm GROUP BY 1, 2")
+def stream_tumble_append(spark, d):
+    s = _stream(spark, d).withWatermark("at", "1 hour").groupBy("event_type", F.window("at", "1 hour")).agg(F.count("*").alias("n"), F.max("value").alias("high"))
+    return _run(s.select("event_type", F.unix_millis("window.start").alias("window_start"), "n", "high"))
+
+
+@query(EV + f", m AS (SELECT max(ms) - {HOUR} AS wm FROM ev) SELECT s AS window_start, count(*) AS n FROM (SELECT *, unnest(range(ms - ms % {2 * HOUR} - {8 * HOUR}, ms + 1, {2 * HOUR})) AS s FROM ev), m WHERE s <= ms AND ms < s + {10 * HOUR} AND s + {10 * HOUR} <= wm GROUP BY 1")
+def stream_hop_append(spark, d):
+    s = _stream(spark, d).withWatermark("at", "1 hour").groupBy(F.window("at", "10 hours", "2 hours")).agg(F.count("*").alias("n"))
+    return _run(s.select(F.unix_millis("window.start").alias("window_start"), "n"))
+
+
+@query(EV + _SESSIONS.format(gap=HOUR).replace("SELECT user_id, min(ms)", f", m AS (SELECT max(ms) - {HOUR} AS wm FROM ev) SELECT user_id, min(ms)").replace("FROM b GROUP BY user_id, s", f"FROM b, m GROUP BY user_id, s, wm HAVING max(ms) + {HOUR} <= wm"))
+def stream_session(spark, d):
+    # A gap less a microsecond, for an event exactly a gap later begins a new session.
+    own = F.session_window("at", f"{HOUR * 1000 - 1} microseconds")
+    s = _stream(spark, d).withWatermark("at", "1 hour").groupBy("user_id", own.alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return _run(s.select("user_id", F.unix_millis("w.start").alias("session_start"), F.expr("(unix_micros(w.end) + 1) div 1000").alias("session_end"), "n", "total"))
+
+
+@query(_PAIR + f"SELECT event_id, r_id FROM l JOIN r ON user_id = r_user AND r_ms BETWEEN ms - {2 * HOUR} AND ms + {2 * HOUR}")
+def stream_interval_join(spark, d):
+    e = _stream(spark, d)
+    left = e.where("event_type = 'click'").select("event_id", "user_id", "at").withWatermark("at", "1 hour")
+    right = e.where("event_type = 'purchase'").select(F.col("event_id").alias("r_id"), F.col("user_id").alias("r_user"), F.col("at").alias("r_at")).withWatermark("r_at", "1 hour")
+    return _run(left.join(right, F.expr("user_id = r_user AND r_at BETWEEN at - INTERVAL 2 HOURS AND at + INTERVAL 2 HOURS")).select("event_id", "r_id"))
+
+
+@query(EV + f", m AS (SELECT max(ms) - {HOUR} AS wm FROM ev), h AS (SELECT ms - ms % {HOUR} AS s, count(*) AS n FROM ev, m WHERE ms - ms % {HOUR} + {HOUR} <= wm GROUP BY 1), x AS (SELECT s - s % {DAY} AS day_start, CAST(sum(n) AS BIGINT) AS n FROM h GROUP BY 1) SELECT day_start, x.n FROM x, m WHERE day_start + {DAY} <= wm")
+def stream_cascade(spark, d):
+    hourly = _stream(spark, d).withWatermark("at", "1 hour").groupBy(F.window("at", "1 hour")).agg(F.count("*").alias("n"))
+    daily = hourly.groupBy(F.window(F.window_time("window"), "1 day").alias("w")).agg(F.sum("n").alias("n"))
+    return _run(daily.select(F.unix_millis("w.start").alias("day_start"), "n"))
+
+
+@query(EV + "SELECT user_id, count(*) AS n, max(value) AS high FROM ev GROUP BY 1")
+def stream_emit_update(spark, d):
+    out = _run(_stream(spark, d).groupBy("user_id").agg(F.count("*").alias("n"), F.max("value").alias("high")), "update")
+    return out.groupBy("user_id").agg(F.max("n").alias("n"), F.max_by("high", "n").alias("high"))
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_distinct(spark, d):
+    return _run(_stream(spark, d).select("user_id", "event_type", "at").withWatermark("at", "40 days").dropDuplicatesWithinWatermark(["user_id", "event_type"]).select("user_id", "event_type"))
+
+
+@query(EV + "SELECT e.event_id, e.value, c_name FROM ev e JOIN customer ON user_id = c_custkey")
+def stream_lookup_join(spark, d):
+    return _run(joins.lookup_join(_stream(spark, d), read(spark, d, "customer"), {"user_id": "c_custkey"}, "inner").select("event_id", "value", "c_name"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
