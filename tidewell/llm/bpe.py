@@ -10,8 +10,8 @@ token is that token.
 
 Defined cases: null text counts as empty and gives no tokens; texts of any length are encoded
 whole, special tokens' strings as ordinary text; repeated rows give repeated results; an empty
-table gives none. Memory: the words kept from earlier texts are dropped beyond KEPT_WORDS, and
-texts are taken in slices, so a task holds one slice and that many words.
+table gives none. Memory: the words kept from earlier texts are dropped beyond KEPT_WORDS (about
+110 MB), and texts are taken in slices, so a task holds one slice and that many words.
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ import hashlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +33,8 @@ from .textops import slices
 RANKS = "byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 KEPT_WORDS = 500_000
-CORPUS_BYTES = 4 << 20
+KEPT_PAIRS = 500_000
+CORPUS_BYTES = 2 << 20
 
 
 class Codec:
@@ -51,18 +51,19 @@ class Codec:
         self.single = np.array([self.ranks[bytes([i])] for i in range(256)])
         self.bytes_rank = np.array([[self.ranks.get(bytes([i, j]), -1) for j in range(256)] for i in range(256)], np.int32)
         self.pairs: dict[int, int] = {}
-        #: word -> (ids, the ids in decimal)
-        self.kept: dict[str, tuple[tuple[int, ...], str]] = {}
+        #: word -> its ids in decimal
+        self.kept: dict[str, str] = {}
+        self.of_decimal = {str(r): t for r, t in self.tokens.items()}
 
     def pair(self, key: int) -> int:
         """The rank of merging the tokens a and b of the key a << 17 | b, or -1; kept in pairs."""
-        if len(self.pairs) > 2_000_000:
+        if len(self.pairs) > KEPT_PAIRS:
             self.pairs.clear()
         r = self.pairs[key] = self.ranks.get(self.tokens[key >> 17] + self.tokens[key & 0x1FFFF], -1)
         return r
 
-    def replay(self, corpus: list[bytes]) -> list[tuple[int, ...]]:
-        """The token ids of every word of the corpus."""
+    def replay(self, corpus: list[bytes]) -> list[str]:
+        """The token ids of every word of the corpus, in decimal."""
         sizes = np.array([len(x) for x in corpus], np.int64)
         ends = np.cumsum(sizes)
         raw = np.frombuffer(b"".join(corpus), np.uint8)
@@ -139,31 +140,38 @@ class Codec:
         left = np.array(tok, np.int64)
         alive = left >= 0
         bounds = np.r_[0, np.cumsum(alive)][np.r_[0, ends]].tolist()
-        left = left[alive].tolist()
-        return [tuple(left[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        left = list(map(self.decimal.__getitem__, left[alive].tolist()))
+        return [" ".join(left[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
-    def pieces(self, texts: list[str | None]) -> list[list[tuple[tuple[int, ...], str]]]:
-        """For each text, its pretokens' ids and their decimal form; the texts' new words are one corpus."""
+    def pieces(self, texts: list[str | None]) -> list[str]:
+        """The ids of each text in decimal, joined by spaces; the texts' new words are one corpus."""
         split = [self.split(t) if t else [] for t in texts]
-        if len(self.kept) > KEPT_WORDS:
-            self.kept.clear()
-        new = list(set().union(*split).difference(self.kept))
-        raw = [w.encode() for w in new]
-        longer = [i for i, b in enumerate(raw) if b not in self.ranks]
-        got: dict[int, tuple[int, ...]] = dict(zip(longer, self.replay([raw[i] for i in longer]), strict=True))
-        decimal = self.decimal
-        for i, w in enumerate(new):
-            ids = got.get(i) or (self.ranks[raw[i]],)
-            self.kept[w] = (ids, " ".join([decimal[i] for i in ids]))
         kept = self.kept
-        return [[kept[w] for w in words] for words in split]
+        if len(kept) > KEPT_WORDS:
+            kept.clear()
+        new = list(set().union(*split).difference(kept))
+        ranks, decimal = self.ranks, self.decimal
+        longer, raw = [], []
+        for w in new:
+            b = w.encode()
+            if (r := ranks.get(b)) is None:
+                longer.append(w)
+                raw.append(b)
+            else:
+                kept[w] = decimal[r]
+        kept.update(zip(longer, self.replay(raw), strict=True))
+        at = kept.__getitem__
+        return [" ".join(map(at, words)) for words in split]
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
-        return [[i for ids, _ in found for i in ids] for found in self.pieces(texts)]
+        return [list(map(int, found.split())) for found in self.pieces(texts)]
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
+    def decode_decimal(self, ids: list[str]) -> bytes:
+        return b"".join(map(self.of_decimal.__getitem__, ids))
+
 
 @lru_cache(2)
 def codec(path: str) -> Codec:
@@ -214,8 +222,8 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
             for part in slices(batch, "text", CORPUS_BYTES):
                 rows = []
                 for found in c.pieces(part.column("text").to_pylist()):
-                    ids = [x for x, _ in found]
-                    rows.append((sum(map(len, ids)), sha(" ".join([s for _, s in found]).encode()).hexdigest(), sha(c.decode(chain.from_iterable(ids))).hexdigest()))
+                    ids = found.split()
+                    rows.append((len(ids), sha(found.encode()).hexdigest(), sha(c.decode_decimal(ids)).hexdigest()))
                 n, a, b = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -233,10 +241,11 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
         c = codec(path)
         for batch in batches:
             for part in slices(batch, "text", CORPUS_BYTES):
-                ids = [np.fromiter(chain.from_iterable(x for x, _ in found), np.int32) for found in c.pieces(part.column("text").to_pylist())]
+                text = [found.split() for found in c.pieces(part.column("text").to_pylist())]
+                ids = [np.array(x, np.int32) if x else np.zeros(0, np.int32) for x in text]
                 sizes = np.array([len(x) for x in ids])
                 found = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(np.concatenate(ids)))
-                hashes = [hashlib.sha256(c.decode(x.tolist())).hexdigest() for x in ids]
+                hashes = [hashlib.sha256(c.decode_decimal(x)).hexdigest() for x in text]
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(sizes, pa.int64()), found, pa.array(hashes)], schema.names)
 
     return docs.mapInArrow(run, schema)

@@ -31,7 +31,7 @@ def _byte_values(fold: bool) -> np.ndarray:
     return v
 
 
-@lru_cache(2)
+@lru_cache(1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base ** i and base ** -i modulo 2 ** 64, for i < n."""
     out = []
@@ -47,7 +47,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(1 << max(22, (n + 1).bit_length()))
+    return _powers(1 << max(21, (n + 1).bit_length()))
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
