@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import zipfile
 from pathlib import Path
 
@@ -13,12 +14,15 @@ from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: A joined side up to this many bytes (measured, never guessed) is broadcast.
-BROADCAST_BYTES = 8 << 20
+BROADCAST_BYTES = 32 << 20
+ARROW_BYTES = 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
     """Give Python workers this library, once a context; Spark serves the archive to every executor, also to later ones."""
     sc = spark.sparkContext
+    # Texts can be long: batches to Python are bounded in bytes, not in rows alone.
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     if getattr(sc, "_tidewell_shipped", False):
         return
     top = Path(__file__).resolve().parents[1]
@@ -56,8 +60,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner remove the shuffle and checkpoint files that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first collection frees what holds the references that the second finds
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def maybe_broadcast(df: DataFrame) -> DataFrame:
@@ -69,6 +75,21 @@ def maybe_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
+def commonest(counted: DataFrame, count: str, size: int) -> list:
+    """The rows with the largest counts, in whole powers of two of the count: as many as fit in size.
+
+    Only rows that are kept reach the driver."""
+    counted = cut(counted)
+    level = F.floor(F.log2(count)).cast("int")
+    low, total = None, 0
+    for r in sorted(counted.where(F.col(count) > 0).groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        total += r.n
+        if total > size:
+            break
+        low = r.level
+    return [] if low is None else sorted(counted.where(level >= low).collect())
+
+
 def crc_fold(doc_id: str = "doc_id"):
     """crc32 of the id as text, modulo 4; 2 is the held-out fold (a null id counts as 0)."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4, F.lit(0))

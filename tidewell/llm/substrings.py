@@ -39,11 +39,11 @@ from pyspark.sql import functions as F
 
 from .common import cut, maybe_broadcast, release, table
 from .suffix import octets, shares, sorted_buckets
-from .textops import mix, slices, span_hashes, utf8
+from .textops import frugal, mix, slices, span_hashes, utf8
 
 LENGTH = 50
 GRAM = 16
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 BLOCK_BYTES = 4 << 20
 LEAST_BUCKETS = 64
 LAST = (1 << 63) - 1
@@ -139,7 +139,7 @@ def chunks(docs: DataFrame) -> DataFrame:
             yield flush()
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "chunk long, size long, ids binary, th binary, offs binary, data binary")
+    return rows.mapInArrow(frugal(run), "chunk long, size long, ids binary, th binary, offs binary, data binary")
 
 
 def _bucket(names: np.ndarray, buckets: int) -> np.ndarray:
@@ -154,13 +154,14 @@ def _names(packed: DataFrame, buckets: int) -> DataFrame:
             for c, ids, offs, data in zip(*(b.column(x).to_pylist() for x in ("chunk", "ids", "offs", "data")), strict=True):
                 name, several = _of_chunk(_unpack(data, np.uint8), _unpack(offs, np.int64), _unpack(ids, np.int64))
                 group = _bucket(name, buckets)
-                first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(name) else []
+                if not len(name):
+                    continue
+                first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
                 rows = [(c, int(group[a]), name[a:z].view(np.uint8).reshape(-1, 8)[:, :5].tobytes(), np.packbits(several[a:z]).tobytes()) for a, z in zip(first, [*first[1:], len(name)], strict=True)]
-                if rows:
-                    cols = list(zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], ["chunk", "bucket", "names", "several"])
+                cols = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], ["chunk", "bucket", "names", "several"])
 
-    return packed.select("chunk", "ids", "offs", "data").mapInArrow(run, "chunk long, bucket long, names binary, several binary")
+    return packed.select("chunk", "ids", "offs", "data").mapInArrow(frugal(run), "chunk long, bucket long, names binary, several binary")
 
 
 def _of_chunk(data, offs, ids):
@@ -231,15 +232,17 @@ def _sent(packed: DataFrame, answers: DataFrame, buckets: int) -> DataFrame:
                 for a, z in zip(first, [*first[1:], len(one)], strict=True):
                     own = one[a:z]
                     text = _gather(data, at[own], size[own])
-                    out.append((c, int(group[a]), _pack(name[own]), _pack(text), _pack(ids[doc[own]]), b"", b"", _pack(size[own].astype(np.int32))))
+                    out.append((c, int(group[a]), _pack(name[own].astype(np.uint32)), _pack(text), _pack(ids[doc[own]]), b"", b"", _pack(size[own].astype(np.int32))))
                 cols = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *(pa.array(x, pa.binary()) for x in cols[2:])], ["chunk", "bucket", "names", "text", "ids", "th", "offs", "sizes"])
 
-    return rows.select("chunk", "ids", "th", "offs", "data", "got").mapInArrow(run, "chunk long, bucket long, names binary, text binary, ids binary, th binary, offs binary, sizes binary")
+    return rows.select("chunk", "ids", "th", "offs", "data", "got").mapInArrow(frugal(run), "chunk long, bucket long, names binary, text binary, ids binary, th binary, offs binary, sizes binary")
 
 
 def smallest(text: np.ndarray, size: np.ndarray, least: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """For each string of the stretches (joined in text), the smallest document that has it, in order."""
+    if not len(size):
+        return np.zeros(0, np.int64)
     begin = np.r_[0, np.cumsum(size)[:-1]]
     count = size - length + 1
     of = np.repeat(np.arange(len(size)), count)
@@ -283,8 +286,8 @@ def _answered(sent: DataFrame) -> DataFrame:
         one = order[new]
         count = size[one] - LENGTH + 1
         begin = np.r_[0, np.cumsum(count)[:-1]]
-        # A name's only stretch has no other to agree with; its strings are its own.
-        name = np.concatenate([_unpack(x, U) for x in t.column("names").to_pylist()])[one]
+        # A name's only stretch has no other to agree with; its strings are its own. (32 bits of names may meet by chance.)
+        name = np.concatenate([_unpack(x, np.uint32) for x in t.column("names").to_pylist()])[one]
         _, of, several = np.unique(name, return_inverse=True, return_counts=True)
         sort = several[of] > 1
         found = np.repeat(least[one], count)
@@ -314,7 +317,9 @@ def spans(docs: DataFrame) -> DataFrame:
     sent = cut(_sent(packed, answers, buckets))
     del packed, answers
     release(spark)
-    got = _answered(sent).groupBy("chunk").agg(F.collect_list(F.struct("bucket", "least")).alias("got"))
+    got = cut(_answered(sent))
+    release(spark)
+    got = got.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "least")).alias("got"))
     rows = sent.where("bucket = -1").join(got, "chunk").select("ids", "th", "offs", "sizes", "got")
 
     def run(batches):
@@ -343,7 +348,10 @@ def spans(docs: DataFrame) -> DataFrame:
                     cols = list(zip(*out, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], ["id", "th", "spans"])
 
-    return cut(rows.mapInArrow(run, "id long, th long, spans binary").dropDuplicates(["id", "th"]))
+    out = cut(rows.mapInArrow(frugal(run), "id long, th long, spans binary").dropDuplicates(["id", "th"]))
+    del sent, got, rows
+    release(spark)
+    return out
 
 
 def _with_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -368,7 +376,7 @@ def removed(docs: DataFrame) -> DataFrame:
             new = [t if f is None or t is None else _kept(t, f)[0].decode("utf-8", "ignore").encode() for t, f in zip(texts, b.column("__spans").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.binary()).cast(pa.string()) if n == "text" else b.column(n) for n in names], names)
 
-    return _with_spans(docs, spans(docs)).select(*names, "__spans").mapInArrow(run, docs.schema)
+    return _with_spans(docs, spans(docs)).select(*names, "__spans").mapInArrow(frugal(run), docs.schema)
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -385,7 +393,7 @@ def digests(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(k, pa.int64()), pa.array(h)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     rows = _with_spans(docs.select("doc_id", "text"), spans(docs)).select("doc_id", "text", "__spans")
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(frugal(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
