@@ -2,13 +2,13 @@ r"""MinHash near-duplicates by a signature-coordinate inverted join.
 
 A document's set holds its distinct runs of five words ([^\x20\x09-\x0D]+, A-Z as a-z); with
 fewer words, the whole sequence. Documents with equal sets are one class, named by its smallest
-doc_id. Each class has COORDINATES minima. Two sets of likeness 0.75 agree on 24 of 32 in the
-mean and on fewer than MATCHES = 14 once in 30,000; so candidates are the pairs that agree on
-14 or more.
+doc_id. Each class has COORDINATES minima. Two sets of likeness 0.75 agree on 48 of 64 in the
+mean and hardly ever (six standard deviations) on fewer than MATCHES = 27; so candidates are the
+pairs that agree on 27 or more.
 
-Posting: a class is posted under its coordinate-value pairs. All classes order their 32 pairs
-alike, the common ones last. A pair of classes that agree on 14 or more must share one of the
-first 32 - 14 + 1 = 19 of each; the other 13 are skipped. So what a very common passage or line
+Posting: a class is posted under its coordinate-value pairs. All classes order their 64 pairs
+alike, the common ones last. A pair of classes that agree on 27 or more must share one of the
+first 64 - 27 + 1 = 38 of each; the other 26 are skipped. So what a very common passage or line
 gives falls out of the lists, and lists of one class are dropped when they are read.
 
 Collisions are counted on the signatures that postings carry. First each class is linked with
@@ -16,7 +16,7 @@ the list leader that it agrees with most (a long list has a leader for each bloc
 leaders meet in a second step), and links are confirmed on the full sets: intersection * 100 >=
 union * 75. That joins most of a group of copies by as many pairs as it has members. Then only
 lists with classes of several components are read again, with signatures of 1024 coordinates of
-two bits, of which a pair has to share 778 (832 are expected at 0.75; one in 100,000 has fewer).
+two bits, of which a pair has to share 768 (832 are expected at 0.75, five standard deviations above).
 First each class tries the class of another component that it agrees with most; then every
 pair of different components that still collides so often and fits in size is confirmed, in the
 one list that is its first. So no link between components is lost, and no group is expanded
@@ -36,17 +36,17 @@ from pyspark.sql import functions as F
 
 from .common import cut, maybe_broadcast, release, table
 from .graph import components
-from .textops import SLICE_BYTES, distinct_per_doc, mix, shingles, slices, span_hashes, utf8, words
+from .textops import SLICE_BYTES, distinct_per_doc, frugal, mix, shingles, slices, span_hashes, utf8, words
 
 K = 5
-COORDINATES = 32
-MATCHES = 14
+COORDINATES = 64
+MATCHES = 27
 PREFIX = COORDINATES - MATCHES + 1
 PERCENT = 75
 BLOCK = 2000
 TILE = 4000
 SKETCH = 1024
-SKETCH_MATCHES = 778
+SKETCH_MATCHES = 768
 ROUNDS = 1
 U = np.uint64
 _FACTORS = (mix(np.arange(1, COORDINATES + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)).tolist()
@@ -98,7 +98,7 @@ def describe(docs: DataFrame) -> DataFrame:
                     [part.column("doc_id"), part.column("th"), pa.array(np.diff(bounds)), _binary(name), _binary((sig >> U(32)).astype(np.uint32))], ["doc_id", "th", "n_shingles", "name", "sig"]
                 )
 
-    return _keyed(docs).mapInArrow(run, "doc_id long, th long, n_shingles long, name binary, sig binary")
+    return _keyed(docs).mapInArrow(frugal(run), "doc_id long, th long, n_shingles long, name binary, sig binary")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -114,7 +114,7 @@ def packed(docs: DataFrame, ids: DataFrame) -> DataFrame:
             blobs = [pa.compress(x, codec="zstd", asbytes=True) for x in texts]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x.size for x in texts], pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "size", "blob"])
 
-    out = cut(_keyed(docs).join(maybe_broadcast(ids), ["doc_id", "th"]).select("doc_id", "text").mapInArrow(run, "doc_id long, size long, blob binary"))
+    out = cut(_keyed(docs).join(maybe_broadcast(ids), ["doc_id", "th"]).select("doc_id", "text").mapInArrow(frugal(run), "doc_id long, size long, blob binary"))
     return cut(out.distinct()) if out.count() > ids.count() else out
 
 
@@ -138,7 +138,7 @@ def _tokens(sig: np.ndarray) -> np.ndarray:
 
 
 def _common(classes: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens that about a thousandth of all classes have, and their counts: 32,000 at most.
+    """Tokens that about a thousandth of all classes have, and their counts: 64,000 at most.
 
     This only settles the common order of tokens; any order gives the same candidates."""
 
@@ -182,7 +182,7 @@ def posts(classes: DataFrame, common) -> DataFrame:
             salt = np.where(blocks > 1, (mix(rep.view(U) ^ tok) % np.maximum(blocks, 1).astype(U)).astype(np.int64), 0).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(tok.view(np.int64)), pa.array(salt), pa.array(blocks > 1), pa.array(rep)], _POST)
 
-    return classes.mapInArrow(run, _POST_KIND)
+    return classes.mapInArrow(frugal(run), _POST_KIND)
 
 
 _POST = ["t", "salt", "blocks", "rep"]
@@ -221,7 +221,7 @@ def shared_posts(posted: DataFrame) -> DataFrame:
             keep = (np.repeat(size, size) > 1) | cols["blocks"].astype(bool)
             yield pa.RecordBatch.from_arrays([pa.array(cols[c][keep]) for c in _POST], _POST)
 
-    return posted.repartition("t", "salt").mapInArrow(run, _POST_KIND)
+    return posted.repartition("t", "salt").mapInArrow(frugal(run), _POST_KIND)
 
 
 def leaders(shared: DataFrame, classes: DataFrame) -> DataFrame:
@@ -241,7 +241,7 @@ def leaders(shared: DataFrame, classes: DataFrame) -> DataFrame:
     # The second step's members are the block leaders.
     second = shared.where("blocks").groupBy("t", "salt").agg(F.min("rep").alias("rep")).select("t", F.lit(-1).alias("salt"), F.lit(True).alias("blocks"), "rep")
     rows = shared.unionAll(second).join(classes, "rep").select("t", "salt", "rep", "n", "sig")
-    return rows.repartition("t", "salt").mapInArrow(run, "a long, b long, hits long")
+    return rows.repartition("t", "salt").mapInArrow(frugal(run), "a long, b long, hits long")
 
 
 def _sketches(texts: DataFrame, common) -> DataFrame:
@@ -264,7 +264,7 @@ def _sketches(texts: DataFrame, common) -> DataFrame:
                 more = more[:, 0::4] | more[:, 1::4] << 2 | more[:, 2::4] << 4 | more[:, 3::4] << 6
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(bounds)), _binary(sig), pa.array(mask), _binary(more)], ["rep", "n", "sig", "mask", "more"])
 
-    return texts.mapInArrow(run, "rep long, n long, sig binary, mask long, more binary")
+    return texts.mapInArrow(frugal(run), "rep long, n long, sig binary, mask long, more binary")
 
 
 def mixed_lists(shared: DataFrame, comp: DataFrame) -> DataFrame:
@@ -327,7 +327,7 @@ def crossing(lists: DataFrame, sketches: DataFrame, every: bool) -> DataFrame:
                 k = best > 0
                 yield pa.RecordBatch.from_arrays([pa.array(of[k]), pa.array(rep[k]), pa.array(best[k])], ["a", "b", "hits"])
 
-    return rows.repartition("t", "x", "y").mapInArrow(run, "a long, b long, hits long")
+    return rows.repartition("t", "x", "y").mapInArrow(frugal(run), "a long, b long, hits long")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -355,7 +355,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     keep = pa.array(ok)
                     yield pa.RecordBatch.from_arrays([part.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
 
-    return cut(rows.select("a", "b", "na", "nb", "ta", "tb").mapInArrow(run, "a long, b long"))
+    return cut(rows.select("a", "b", "na", "nb", "ta", "tb").mapInArrow(frugal(run), "a long, b long"))
 
 
 def linked(classes: DataFrame, docs: DataFrame) -> DataFrame:
