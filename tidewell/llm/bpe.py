@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from .common import table, tokenizer_path
-from .textops import slices
+from .textops import frugal, slices
 
 RANKS = "byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -192,7 +192,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: st
                 found = pa.array(c.encode(part.column(text).to_pylist()), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), found], [*names, ids])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(frugal(run), schema)
 
 
 def decode(docs: DataFrame, path: str | None = None, ids: str = "ids", text: str = "text") -> DataFrame:
@@ -208,7 +208,7 @@ def decode(docs: DataFrame, path: str | None = None, ids: str = "ids", text: str
             found = pa.array([c.decode(x or []).decode("utf-8", "replace") for x in part.column(ids).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), found], [*names, text])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(frugal(run), schema)
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -227,7 +227,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                 n, a, b = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -248,7 +248,7 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
                 hashes = [hashlib.sha256(c.decode_decimal(x)).hexdigest() for x in text]
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(sizes, pa.int64()), found, pa.array(hashes)], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(frugal(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .textops import SPACES, distinct_per_doc, shingles, slices, span_hashes, utf8
+from .textops import SPACES, distinct_per_doc, frugal, shingles, slices, span_hashes, utf8
 from .training import first_ids, learnable, parts, scored, sigmoid, texts_of
 
 BITS = 20
@@ -145,7 +145,7 @@ def keep(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = TH
                 good = pa.array(s >= threshold)
                 yield pa.RecordBatch.from_arrays([part.column(n).filter(good) for n in names], names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

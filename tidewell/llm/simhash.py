@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, table
-from .textops import distinct_per_doc, mix, shingles, span_hashes, utf8, words
+from .textops import distinct_per_doc, frugal, mix, shingles, span_hashes, utf8, words
 
 BITS = 128
 RUN = 3
@@ -87,7 +87,7 @@ def fingerprint(docs: DataFrame, bits: int = BITS, run: int = RUN) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(hexes(fingerprints(batch.column("text").to_pylist(), bits, run)), pa.string())], ["doc_id", "fingerprint"])
 
-    return docs.select("doc_id", "text").mapInArrow(one, "doc_id long, fingerprint string")
+    return docs.select("doc_id", "text").mapInArrow(frugal(one), "doc_id long, fingerprint string")
 
 
 def near_pairs(prints: DataFrame, radius: int, blocks: int | None = None, tile: int = 2000) -> DataFrame:

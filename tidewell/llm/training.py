@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_fold
-from .textops import utf8
+from .textops import frugal, utf8
 
 HELD_OUT = 2
 
@@ -19,8 +19,12 @@ def learnable(df: DataFrame) -> DataFrame:
 
 
 def first_ids(ids: DataFrame, most: int, seed: int) -> DataFrame:
-    """The distinct ids with the smallest seeded hashes, most at most."""
-    return ids.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(most)
+    """The distinct ids with the smallest seeded hashes, most at most. On many ids, all but the smallest hashes go first."""
+    ids = ids.where("doc_id is not null").select("doc_id", F.xxhash64(F.lit(seed), "doc_id").alias("h")).distinct()
+    n = ids.count()
+    if n > 8 * most:
+        ids = ids.where(F.col("h") < F.lit(-(1 << 63) + int((1 << 64) * 4 * most / n)))
+    return ids.orderBy("h", "doc_id").limit(most).select("doc_id")
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> list[str]:
@@ -61,4 +65,4 @@ def scored(docs: DataFrame, score_batch, threshold: float) -> DataFrame:
                 )
 
     rows = docs.select("doc_id", (crc_fold() == HELD_OUT).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(frugal(run), "doc_id long, held_out boolean, score double, predicted int")

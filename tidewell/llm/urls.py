@@ -9,7 +9,8 @@ of all pages, splits each label of a host by the Viterbi algorithm into its like
 multinomial naive Bayes model, counted over all urls that a rule decides, scores the words of
 host and path. Numbers in either are one token. A url is blocked if block is the likelier class.
 
-The models' sizes are parameters: LEXICON words and TOKENS tokens, the commonest of all.
+The models' sizes are parameters: at most LEXICON words and TOKENS tokens, the commonest of all
+(in whole powers of two of their counts).
 Defined cases: a null url, or one without `://`, has an empty host and path and is judged by
 the classes' shares; with no url decided by a rule, all others are allowed; repeated rows are
 judged alike; an empty table gives none; other columns are ignored.
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import commonest, cut, table
 
 #: (verdict, host, path)
 RULES = (
@@ -82,7 +83,7 @@ def lexicon(pages: DataFrame, size: int = LEXICON) -> dict[str, float]:
                 seen.clear()
         yield pd.DataFrame(list(seen.items()), columns=["w", "n"])
 
-    rows = pages.select("html").mapInPandas(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(size).collect()
+    rows = commonest(pages.select("html").mapInPandas(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), "n", size)
     total = sum(r.n for r in rows) or 1
     return {r.w: math.log(r.n / total) for r in rows}
 
@@ -130,19 +131,20 @@ def train(pages: DataFrame, words: dict[str, float], rules=RULES, size: int = TO
     shared = pages.sparkSession.sparkContext.broadcast(words)
 
     def count(batches):
-        cut = Segmenter(shared.value)
+        names = Segmenter(shared.value)
         seen = (Counter(), Counter())
         for pdf in batches:
             for h, p, v, n in zip(pdf.host, pdf.path, pdf.v, pdf.n, strict=True):
                 own = seen[v == "block"]
                 own[""] += n
-                for t in cut.tokens(h, p):
+                for t in names.tokens(h, p):
                     own[t] += n
         yield pd.DataFrame([(t, seen[ALLOW][t], seen[BLOCK][t]) for t in set(seen[0]) | set(seen[1])], columns=["t", "a", "b"])
 
     rows = known.mapInPandas(count, "t string, a long, b long").groupBy("t").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    rows = cut(rows.withColumn("n", F.col("a") + F.col("b")))
     urls = rows.where("t = ''").head() or (None, 0, 0)
-    kept = rows.where("t <> ''").orderBy(F.desc(F.col("a") + F.col("b")), "t").limit(size).collect()
+    kept = commonest(rows.where("t <> ''"), "n", size)
     n, na, nb = len(kept) + 1, sum(r.a for r in kept), sum(r.b for r in kept)
     return {
         "tokens": {r.t: math.log((r.b + 1) / (nb + n)) - math.log((r.a + 1) / (na + n)) for r in kept},
@@ -160,12 +162,12 @@ def judge(pages: DataFrame, words: dict[str, float], model: dict, rules=RULES) -
 
     def run(batches):
         words_, model_ = shared.value
-        cut, odds = Segmenter(words_), model_["tokens"]
+        names, odds = Segmenter(words_), model_["tokens"]
         for b in batches:
             out = []
             for h, p, v in zip(b.column("host").to_pylist(), b.column("path").to_pylist(), b.column("verdict").to_pylist(), strict=True):
                 if v is None:
-                    v = "block" if model_["prior"] + sum(odds.get(t, 0.0) for t in cut.tokens(h, p)) > 0 else "allow"
+                    v = "block" if model_["prior"] + sum(odds.get(t, 0.0) for t in names.tokens(h, p)) > 0 else "allow"
                 out.append(v)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("page_id", "host", "path", "rule")), pa.array(out, pa.string())], ["page_id", "host", "path", "rule", "verdict"])
 
