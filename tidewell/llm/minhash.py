@@ -45,6 +45,7 @@ PREFIX = COORDINATES - MATCHES + 1
 PERCENT = 75
 BLOCK = 2000
 TILE = 4000
+SHORT = 16
 SKETCH = 1024
 SKETCH_MATCHES = 768
 ROUNDS = 1
@@ -87,7 +88,7 @@ def _rows(column, dtype, width: int) -> np.ndarray:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """doc_id, th (a hash of the text), n_shingles, name (of the set) and sig of every row."""
+    """doc_id, th (a hash of the text), n_shingles, name (of the set), sig and its low halves of every row."""
 
     def run(batches):
         for batch in batches:
@@ -95,10 +96,10 @@ def describe(docs: DataFrame) -> DataFrame:
                 h, bounds = sets(*utf8(part.column("text")))
                 sig, name = signatures(h, bounds)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("th"), pa.array(np.diff(bounds)), _binary(name), _binary((sig >> U(32)).astype(np.uint32))], ["doc_id", "th", "n_shingles", "name", "sig"]
+                    [part.column("doc_id"), part.column("th"), pa.array(np.diff(bounds)), _binary(name), _binary((sig >> U(32)).astype(np.uint32)), _binary((sig >> U(32)).astype(np.uint16))], ["doc_id", "th", "n_shingles", "name", "sig", "low"]
                 )
 
-    return _keyed(docs).mapInArrow(frugal(run), "doc_id long, th long, n_shingles long, name binary, sig binary")
+    return _keyed(docs).mapInArrow(frugal(run), "doc_id long, th long, n_shingles long, name binary, sig binary, low binary")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -195,8 +196,8 @@ def _lists(batches, key: list[str]):
     if not held:
         return None
     t = pa.Table.from_batches(held)
-    cols = {c: t.column(c).to_numpy() for c in t.column_names if c != "sig"}
-    sig = _rows(t.column("sig"), np.uint32, COORDINATES) if "sig" in t.column_names else cols["rep"]
+    cols = {c: t.column(c).to_numpy() for c in t.column_names if c != "low"}
+    sig = _rows(t.column("low"), np.uint16, COORDINATES) if "low" in t.column_names else cols["rep"]
     order = np.lexsort([cols["rep"], *(cols[c] for c in reversed(key))])
     cols = {c: v[order] for c, v in cols.items()}
     new = np.zeros(len(order), bool)
@@ -225,7 +226,10 @@ def shared_posts(posted: DataFrame) -> DataFrame:
 
 
 def leaders(shared: DataFrame, classes: DataFrame) -> DataFrame:
-    """a, b, hits: each class with the leader of its block of each list, and block leaders with their list's."""
+    """a, b, hits: each class with the leader of its block of each list, and block leaders with their list's.
+
+    With t: the postings a of the list t that can still matter, which are those of lists longer than
+    SHORT and, in shorter ones, classes that collide often enough with any other of the list."""
 
     def run(batches):
         found = _lists(batches, ["t", "salt"])
@@ -236,12 +240,26 @@ def leaders(shared: DataFrame, classes: DataFrame) -> DataFrame:
         lead = np.repeat(first, size)
         hits = (sig == sig[lead]).sum(1)
         ok = (np.arange(len(sig)) != lead) & (hits >= MATCHES) & _fits(cols["n"], cols["n"][lead])
-        yield pa.RecordBatch.from_arrays([pa.array(cols["rep"][lead][ok]), pa.array(cols["rep"][ok]), pa.array(hits[ok].astype(np.int64))], ["a", "b", "hits"])
+        count = np.repeat(size, size)
+        live = count > SHORT
+        which, close = np.repeat(np.arange(len(first)), size), np.zeros(len(sig), bool)
+        for d in range(1, SHORT):
+            i = np.flatnonzero((which[d:] == which[:-d]) & ~live[:-d])
+            i = i[_fits(cols["n"][i], cols["n"][i + d])]
+            i = i[(sig[i] == sig[i + d]).sum(1) >= MATCHES]
+            near = np.zeros(len(sig), bool)
+            near[i], near[i + d] = True, True
+            close |= near
+        live = (live | close | cols["blocks"].astype(bool)) & (cols["salt"] >= 0)
+        none = pa.nulls(int(live.sum()), pa.int64())
+        names = ["a", "b", "hits", "t"]
+        yield pa.RecordBatch.from_arrays([pa.array(cols["rep"][lead][ok]), pa.array(cols["rep"][ok]), pa.array(hits[ok].astype(np.int64)), pa.nulls(int(ok.sum()), pa.int64())], names)
+        yield pa.RecordBatch.from_arrays([pa.array(cols["rep"][live]), none, none, pa.array(cols["t"][live])], names)
 
     # The second step's members are the block leaders.
     second = shared.where("blocks").groupBy("t", "salt").agg(F.min("rep").alias("rep")).select("t", F.lit(-1).alias("salt"), F.lit(True).alias("blocks"), "rep")
-    rows = shared.unionAll(second).join(classes, "rep").select("t", "salt", "rep", "n", "sig")
-    return rows.repartition("t", "salt").mapInArrow(frugal(run), "a long, b long, hits long")
+    rows = shared.unionAll(second).join(classes, "rep").select("t", "salt", "blocks", "rep", "n", "low")
+    return rows.repartition("t", "salt").mapInArrow(frugal(run), "a long, b long, hits long, t long")
 
 
 def _sketches(texts: DataFrame, common) -> DataFrame:
@@ -359,7 +377,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def linked(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """id and component of every class (rep, th, n, sig) that has links."""
+    """id and component of every class (rep, th, n, sig, low) that has links."""
     spark = docs.sparkSession
     n = classes.count()
     common = spark.sparkContext.broadcast(_common(classes, n))
@@ -367,7 +385,9 @@ def linked(classes: DataFrame, docs: DataFrame) -> DataFrame:
     release(spark)
     texts = packed(docs, cut(shared.select("rep").distinct().join(classes, "rep").select(F.col("rep").alias("doc_id"), "th")))
     # Each class tries the leader that it agrees with most.
-    best = leaders(shared, classes.select("rep", "n", "sig")).groupBy("b").agg(F.max_by("a", F.struct("hits", -F.col("a"))).alias("a"))
+    led = cut(leaders(shared, classes.select("rep", "n", "low")))
+    shared = cut(led.where("t is not null").select("t", F.col("a").alias("rep")))
+    best = led.where("t is null").groupBy("b").agg(F.max_by("a", F.struct("hits", -F.col("a"))).alias("a"))
     comp = cut(components(confirmed(best, texts)))
     release(spark)
     sketches = None
@@ -392,10 +412,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     described = cut(describe(docs))
     classes = described.where("n_shingles > 0 and doc_id is not null").groupBy("name").agg(
-        F.min(F.struct("doc_id", "th")).alias("x"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")
+        F.min(F.struct("doc_id", "th")).alias("x"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("low").alias("low")
     )
-    classes = cut(classes.select("name", F.col("x.doc_id").alias("rep"), "x.th", "n", "sig"))
-    comp = linked(classes.select("rep", "th", "n", "sig"), docs)
+    classes = cut(classes.select("name", F.col("x.doc_id").alias("rep"), "x.th", "n", "sig", "low"))
+    comp = linked(classes.select("rep", "th", "n", "sig", "low"), docs)
     named = classes.join(comp, classes.rep == comp.id, "left").select("name", F.coalesce("component", "rep").alias("component_id"))
     rows = described.join(named, "name", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
