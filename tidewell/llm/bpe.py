@@ -247,6 +247,9 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
                 found = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(np.concatenate(ids)))
                 hashes = [hashlib.sha256(c.decode_decimal(x)).hexdigest() for x in text]
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(sizes, pa.int64()), found, pa.array(hashes)], schema.names)
+        # Other stages' tasks share the worker; they get its memory back.
+        del c
+        codec.cache_clear()
 
     return docs.mapInArrow(frugal(run), schema)
 
