@@ -65,3 +65,17 @@ def test_viterbi():
         found = s.split(name)
         assert "".join(found) == name
         assert sum(words.get(w, s.unknown - len(w) * math.log(10.0)) for w in found) == pytest.approx(best(name)[0])
+
+
+def test_rare_words_count(spark):
+    """Over 50,000 words that are seen once, among them those that a host needs."""
+    text = " ".join("x" + "".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(60_000)) + " glimmer quorn"
+    rows = [(i, f"http://glimmer{'quorn' if i % 2 else 'zzzz'}.example.com/en/{i}", text if not i else "", "") for i in range(4)]
+    p = spark.createDataFrame([*rows, (9, "http://glimmer.example.org/fr/1", None, "")], "page_id long, url string, html string, host string")
+    words = urls.lexicon(p)
+    assert words.total == 60_002 and words.least == 1
+    split = sorted(tuple(r) for r in urls.segments(p.select(urls.parts()[0].alias("host")), words).where("t like 'n:glimmer%'").collect())
+    assert [r for r in split if r[0] == "n:glimmerquorn"] == [("n:glimmerquorn", 0, "glimmer"), ("n:glimmerquorn", 1, "quorn")]
+    model = urls.train(p, words)
+    assert {r.t: (r.a, r.b) for r in model.tokens.where("t in ('h:glimmer', 'h:quorn')").collect()} == {"h:glimmer": (0, 4), "h:quorn": (0, 2)}
+    assert {r.page_id: r.verdict for r in urls.judge(p, words, model).collect()}[9] == "block"

@@ -75,21 +75,6 @@ def maybe_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
-def commonest(counted: DataFrame, count: str, size: int) -> list:
-    """The rows with the largest counts, in whole powers of two of the count: as many as fit in size.
-
-    Only rows that are kept reach the driver."""
-    counted = cut(counted)
-    level = F.floor(F.log2(count)).cast("int")
-    low, total = None, 0
-    for r in sorted(counted.where(F.col(count) > 0).groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), reverse=True):
-        total += r.n
-        if total > size:
-            break
-        low = r.level
-    return [] if low is None else sorted(counted.where(level >= low).collect())
-
-
 def crc_fold(doc_id: str = "doc_id"):
     """crc32 of the id as text, modulo 4; 2 is the held-out fold (a null id counts as 0)."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4, F.lit(0))

@@ -9,8 +9,8 @@ of all pages, splits each label of a host by the Viterbi algorithm into its like
 multinomial naive Bayes model, counted over all urls that a rule decides, scores the words of
 host and path. Numbers in either are one token. A url is blocked if block is the likelier class.
 
-The models' sizes are parameters: at most LEXICON words and TOKENS tokens, the commonest of all
-(in whole powers of two of their counts).
+Both models count every word and token, and stay distributed tables: names and urls are joined to
+the counts that they need, while totals and the smallest probability are taken over all.
 Defined cases: a null url, or one without `://`, has an empty host and path and is judged by
 the classes' shares; with no url decided by a rule, all others are allowed; repeated rows are
 judged alike; an empty table gives none; other columns are ignored.
@@ -21,14 +21,14 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from functools import lru_cache
+from typing import NamedTuple
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import commonest, cut, table
+from .common import cut, maybe_broadcast, table
 
 #: (verdict, host, path)
 RULES = (
@@ -38,8 +38,8 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-LEXICON = 50_000
-TOKENS = 50_000
+#: Counts that a task holds before it passes them on.
+HELD = 500_000
 LONGEST = 16
 ALLOW, BLOCK = 0, 1
 _TAG = re.compile(r"<[^>]*>")
@@ -69,8 +69,17 @@ def decided(rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def lexicon(pages: DataFrame, size: int = LEXICON) -> dict[str, float]:
-    """Log probabilities of the commonest words of all pages' text."""
+class Lexicon(NamedTuple):
+    """How often every word of the pages' text occurs (w, n), with what probabilities need of all of them."""
+
+    counts: DataFrame
+    total: int
+    least: int
+    lengths: list[int]
+
+
+def lexicon(pages: DataFrame) -> Lexicon:
+    """All words of all pages' text."""
 
     def count(batches):
         seen: Counter = Counter()
@@ -78,25 +87,24 @@ def lexicon(pages: DataFrame, size: int = LEXICON) -> dict[str, float]:
             for html in pdf.html:
                 if html:
                     seen.update(_WORD.findall(_TAG.sub(" ", html).lower()))
-            if len(seen) > 500_000:
+            if len(seen) > HELD:
                 yield pd.DataFrame(list(seen.items()), columns=["w", "n"])
                 seen.clear()
         yield pd.DataFrame(list(seen.items()), columns=["w", "n"])
 
-    rows = commonest(pages.select("html").mapInPandas(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), "n", size)
-    total = sum(r.n for r in rows) or 1
-    return {r.w: math.log(r.n / total) for r in rows}
+    counts = cut(pages.select("html").mapInPandas(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")))
+    total, least, lengths = counts.agg(F.sum("n"), F.min("n"), F.collect_set(F.length("w"))).head()
+    return Lexicon(counts, total or 1, least or 1, sorted(lengths))
 
 
 class Segmenter:
-    """Splits a concatenated name into its likeliest words."""
+    """Splits a concatenated name into its likeliest words; least is the smallest log probability, if words has not all of them."""
 
-    def __init__(self, words: dict[str, float]):
+    def __init__(self, words: dict[str, float], least: float | None = None):
         self.words = words
-        self.unknown = (min(words.values()) if words else 0.0) - math.log(10.0)
-        self.split = lru_cache(100_000)(self._split)
+        self.unknown = (min(words.values(), default=0.0) if least is None else least) - math.log(10.0)
 
-    def _split(self, name: str) -> tuple[str, ...]:
+    def split(self, name: str) -> tuple[str, ...]:
         best: list[tuple[float, int]] = [(0.0, 0)]
         for e in range(1, len(name) + 1):
             found = (-math.inf, 0)
@@ -114,64 +122,134 @@ class Segmenter:
             e = best[e][1]
         return tuple(reversed(out))
 
-    def tokens(self, host: str, path: str) -> list[str]:
-        """What naive Bayes counts: words of the host (h:) and of the path (p:)."""
+
+def pieces(host: str, path: str) -> list[str]:
+    """What naive Bayes counts, in order: words of the host (h:) and of the path (p:); n: is a name still to be split."""
+    out = []
+    for label in host.split("."):
+        out += ["h:#" if x.isdigit() else "n:" + x for x in _PIECE.findall(label)]
+    return out + ["p:#" if x.isdigit() else "p:" + x for x in _PIECE.findall(path.lower())]
+
+
+def rows(out: list[tuple], names: tuple, types: tuple) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(types)], list(names))
+
+
+def segments(hosts: DataFrame, words: Lexicon) -> DataFrame:
+    """The words (i, w) of every distinct name n:... in the column host.
+
+    Only substrings of the names meet the word counts, so no word is left out and none need be sent around."""
+
+    def names(batches):
+        for b in batches:
+            yield rows([(t,) for t in {t for h in b.column(0).to_pylist() for t in pieces(h, "") if t[0] == "n"}], ("t",), (pa.string(),))
+
+    lengths, total, least = words.lengths, words.total, math.log(words.least / words.total)
+
+    def substrings(batches):
         out = []
-        for label in host.split("."):
-            for piece in _PIECE.findall(label):
-                out += ["h:#"] if piece.isdigit() else ["h:" + w for w in self.split(piece)]
-        return out + ["p:#" if x.isdigit() else "p:" + x for x in _PIECE.findall(path.lower())]
+        for b in batches:
+            for own in b.column(0).to_pylist():
+                name = own[2:]
+                out += [(own, w) for w in {name[s : s + n] for n in lengths for s in range(len(name) - n + 1)}]
+                if len(out) > 20_000:
+                    yield rows(out, ("t", "w"), (pa.string(), pa.string()))
+                    out = []
+        yield rows(out, ("t", "w"), (pa.string(), pa.string()))
+
+    def split(batches):
+        for b in batches:
+            out = []
+            for t, known in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                log = {k["w"]: math.log(k["n"] / total) for k in known or ()}
+                out += [(t, i, w) for i, w in enumerate(Segmenter(log, least).split(t[2:]))]
+            yield rows(out, ("t", "i", "w"), (pa.string(), pa.int32(), pa.string()))
+
+    own = cut(hosts.select("host").distinct().mapInArrow(names, "t string").distinct())
+    parts_ = own.mapInArrow(substrings, "t string, w string")
+    met = cut(words.counts.join(parts_.select("w").distinct(), "w", "left_semi"))
+    known = parts_.join(maybe_broadcast(met), "w").groupBy("t").agg(F.collect_list(F.struct("w", "n")).alias("known"))
+    return cut(own.join(known, "t", "left").mapInArrow(split, "t string, i int, w string"))
+
+
+class Model(NamedTuple):
+    """Naive Bayes: counts of every token among allowed and blocked urls (t, a, b), and what is summed over all of them."""
+
+    tokens: DataFrame
+    prior: float
+    n: int
+    na: int
+    nb: int
 
 
-def train(pages: DataFrame, words: dict[str, float], rules=RULES, size: int = TOKENS) -> dict:
+def train(pages: DataFrame, words: Lexicon, rules=RULES) -> Model:
     """Naive Bayes from all urls that a rule decides, with add-one smoothing."""
     host, path = parts()
     known = pages.select(host.alias("host"), path.alias("path"))
-    known = known.withColumn("v", decided(rules)[1]).where("v is not null").groupBy("host", "path", "v").agg(F.count("*").alias("n"))
-    shared = pages.sparkSession.sparkContext.broadcast(words)
+    known = cut(known.withColumn("v", decided(rules)[1]).where("v is not null").groupBy("host", "path", "v").agg(F.count("*").alias("n")))
 
     def count(batches):
-        names = Segmenter(shared.value)
         seen = (Counter(), Counter())
+
+        def sums_so_far():
+            return pd.DataFrame([(t, seen[ALLOW][t], seen[BLOCK][t]) for t in set(seen[0]) | set(seen[1])], columns=["t", "a", "b"])
+
         for pdf in batches:
             for h, p, v, n in zip(pdf.host, pdf.path, pdf.v, pdf.n, strict=True):
                 own = seen[v == "block"]
-                own[""] += n
-                for t in names.tokens(h, p):
+                for t in pieces(h, p):
                     own[t] += n
-        yield pd.DataFrame([(t, seen[ALLOW][t], seen[BLOCK][t]) for t in set(seen[0]) | set(seen[1])], columns=["t", "a", "b"])
+            if len(seen[0]) + len(seen[1]) > HELD:
+                yield sums_so_far()
+                seen[0].clear(), seen[1].clear()
+        yield sums_so_far()
 
-    rows = known.mapInPandas(count, "t string, a long, b long").groupBy("t").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    rows = cut(rows.withColumn("n", F.col("a") + F.col("b")))
-    urls = rows.where("t = ''").head() or (None, 0, 0)
-    kept = commonest(rows.where("t <> ''"), "n", size)
-    n, na, nb = len(kept) + 1, sum(r.a for r in kept), sum(r.b for r in kept)
-    return {
-        "tokens": {r.t: math.log((r.b + 1) / (nb + n)) - math.log((r.a + 1) / (na + n)) for r in kept},
-        "prior": math.log((urls[2] + 1) / (urls[1] + 1)) if urls[1] or urls[2] else -1.0,
-    }
+    sums = [F.sum(c).alias(c) for c in ("a", "b")]
+    met = cut(known.mapInPandas(count, "t string, a long, b long").groupBy("t").agg(*sums))
+    # Names are summed before they are split, so each meets its words once.
+    named = met.join(segments(known, words), "t").select(F.concat(F.lit("h:"), "w").alias("t"), "a", "b")
+    tokens = cut(met.where(~F.col("t").startswith("n:")).unionAll(named).groupBy("t").agg(*sums))
+    n, na, nb = tokens.agg(F.count("*"), F.coalesce(F.sum("a"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).head()
+    urls = {r.v: r.n for r in known.groupBy("v").agg(F.sum("n").alias("n")).collect()}
+    prior = math.log((urls.get("block", 0) + 1) / (urls.get("allow", 0) + 1)) if urls else -1.0
+    return Model(tokens, prior, n + 1, na, nb)
 
 
-def judge(pages: DataFrame, words: dict[str, float], model: dict, rules=RULES) -> DataFrame:
+def judge(pages: DataFrame, words: Lexicon, model: Model, rules=RULES) -> DataFrame:
     """page_id, host, path, rule and verdict of every row."""
-    shared = pages.sparkSession.sparkContext.broadcast((words, model))
     host, path = parts()
-    rows = pages.select("page_id", host.alias("host"), path.alias("path"))
+    all_rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = decided(rules)
-    rows = rows.withColumns({"rule": rule, "verdict": verdict})
+    all_rows = all_rows.withColumns({"rule": rule, "verdict": verdict})
+    left = cut(all_rows.where("verdict is null").withColumn("id", F.monotonically_increasing_id()))
+
+    def names(batches):
+        for b in batches:
+            out = [(i, at, t) for i, h, p in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True) for at, t in enumerate(pieces(h, p))]
+            yield rows(out, ("id", "at", "t"), (pa.int64(), pa.int32(), pa.string()))
+
+    prior, n, na, nb = model[1:]
+
+    def odds(a: int, b: int) -> float:
+        return math.log((b + 1) / (nb + n)) - math.log((a + 1) / (na + n))
 
     def run(batches):
-        words_, model_ = shared.value
-        names, odds = Segmenter(words_), model_["tokens"]
         for b in batches:
-            out = []
-            for h, p, v in zip(b.column("host").to_pylist(), b.column("path").to_pylist(), b.column("verdict").to_pylist(), strict=True):
-                if v is None:
-                    v = "block" if model_["prior"] + sum(odds.get(t, 0.0) for t in names.tokens(h, p)) > 0 else "allow"
-                out.append(v)
+            out = [
+                "block" if prior + sum(odds(*r) for _, r in sorted(((x["at"], x["i"]), (x["a"], x["b"])) for x in found or ())) > 0 else "allow"
+                for found in b.column("found").to_pylist()
+            ]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("page_id", "host", "path", "rule")), pa.array(out, pa.string())], ["page_id", "host", "path", "rule", "verdict"])
 
-    return rows.mapInArrow(run, "page_id long, host string, path string, rule string, verdict string")
+    split = segments(left, words).select(F.col("t").alias("name"), "i", F.concat(F.lit("h:"), "w").alias("t"))
+    split = split.join(maybe_broadcast(model.tokens), "t").select(F.col("name").alias("t"), "i", "a", "b")
+    whole = model.tokens.where((F.col("t") == "h:#") | F.col("t").startswith("p:")).select("t", F.lit(0).alias("i"), "a", "b")
+    counts = cut(split.unionAll(whole))
+    # Tokens that no decided url has say nothing.
+    found = left.select("id", "host", "path").mapInArrow(names, "id long, at int, t string").join(maybe_broadcast(counts), "t")
+    found = found.groupBy("id").agg(F.collect_list(F.struct("at", "i", "a", "b")).alias("found"))
+    judged = left.join(found, "id", "left").select("page_id", "host", "path", "rule", "found")
+    return all_rows.where("verdict is not null").unionAll(judged.mapInArrow(run, "page_id long, host string, path string, rule string, verdict string"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
