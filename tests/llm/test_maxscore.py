@@ -42,3 +42,11 @@ def test_few_and_large(spark):
     assert run(spark, huge) == [(0, 1, 1, 2**63 - 1)]
     short = [(0, [1.0, 1.0]), (1, [2.0]), (2, [0.5, 0.5])]
     assert run(spark, short) == brute(short)
+
+
+def test_repeated_rows_take_one_place(spark):
+    for scale in (1.0, 1e6):  # the second is summed in whole integers
+        rows = [(50, [scale, scale])] + [(1, [9 * scale, 9 * scale])] * 6 + [(i, [scale * i / 10, scale]) for i in range(2, 9)]
+        v = maxscore.integers(spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1))
+        got = sorted(tuple(r) for r in maxscore.search(v, v.where("vec_id = 50")).collect())
+        assert [r[2] for r in got] == [1, 8, 7, 6, 5] and [r[1] for r in got] == [1, 2, 3, 4, 5]

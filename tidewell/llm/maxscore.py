@@ -38,7 +38,7 @@ RUN = 8
 
 
 class Tops:
-    """The k best (score descending, id ascending) candidates of each query."""
+    """The k best (score descending, id ascending) candidates of each query, repeated pairs once."""
 
     def __init__(self, n: int, k: int):
         self.k = k
@@ -50,8 +50,12 @@ class Tops:
 
     def add(self, q: int, ids: np.ndarray, scores: np.ndarray) -> None:
         s, i = np.r_[self.score[q], scores], np.r_[self.id[q], ids]
-        best = np.lexsort((i, -s))[: self.k]
-        self.score[q], self.id[q] = s[best], i[best]
+        best = np.lexsort((i, -s))
+        s, i = s[best], i[best]
+        new = np.r_[True, (s[1:] != s[:-1]) | (i[1:] != i[:-1])]
+        s, i = s[new][: self.k], i[new][: self.k]
+        # Found pairs never get fewer, so places from len(s) on are still free.
+        self.score[q, : len(s)], self.id[q, : len(s)] = s, i
 
 
 def search_shard(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, tops: Tops) -> None:
@@ -114,7 +118,7 @@ def _exact(q_ids, q, ids, x, tops) -> None:
     for i in range(len(q)):
         s = [sum(int(a) * int(b) for a, b in zip(q[i], row, strict=True)) for row in x]
         s = [max(-(1 << 63) + 1, min((1 << 63) - 1, v)) for v in s]
-        best = sorted((-v, int(d)) for v, d in zip(s, ids, strict=True) if d != q_ids[i])[: tops.k]
+        best = sorted({(-v, int(d)) for v, d in zip(s, ids, strict=True) if d != q_ids[i]})[: tops.k]
         tops.add(i, np.array([d for _, d in best], np.int64), np.array([-v for v, _ in best], np.longdouble))
 
 
