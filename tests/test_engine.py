@@ -139,3 +139,12 @@ def test_multi_join(engine):
     """)
     sql = "SELECT o.id, c.name, p.label FROM orders o JOIN customers c ON o.customer_id = c.id JOIN products p ON o.product_code = p.code"
     assert rows(engine.execute(sql)) == [(1, "ann", "X"), (2, "bob", "Y")]
+
+
+def test_emit_changes_over_two_runs(engine):
+    engine.execute("CREATE STREAM c AS SELECT symbol, count(*) AS n FROM trades GROUP BY symbol EMIT CHANGES")
+    for v in ("('A', 1, 1, 500), ('B', 1, 1, 500)", "('A', 1, 1, 700)", "('B', 1, 1, 900)"):
+        engine.execute(f"INSERT INTO trades VALUES {v}")
+        engine.run()
+    got = rows(engine.results("c"), "symbol", "n", "_weight")
+    assert got == [("A", 1, -1), ("A", 1, 1), ("A", 2, 1), ("B", 1, -1), ("B", 1, 1), ("B", 2, 1)]

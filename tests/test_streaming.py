@@ -127,3 +127,11 @@ def test_formats(spark):
     old = T.StructType([T.StructField("a", T.IntegerType())])
     assert connectors.compatible(old, T.StructType([*old.fields, T.StructField("c", T.StringType())]), "BACKWARD")
     assert not connectors.compatible(old, T.StructType([T.StructField("c", T.StringType(), False)]), "FULL")
+
+
+def test_sorted_up_to_goes_on_in_a_new_object(spark, tmp_path):
+    out = []
+    for i, b in enumerate([[(5,), (1,)], [(3,), (9,)], [(2,), (7,), (20,)]]):
+        each = state.SortedUpTo("ms", 3, lambda b, i: out.extend(r.ms for r in b.collect()), f"{tmp_path}/state")
+        each(spark.createDataFrame(b, "ms long"), i)
+    assert out == [1, 3, 5, 7, 9]

@@ -13,6 +13,14 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from ..operators.changelog import diff
 
 
+def _version(spark, path: str, batch_id: int) -> int | None:
+    """The highest version below batch_id under path. Batches run one after another, so it is whole."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+    return max((int(n[1:]) for n in names if n[0] == "v" and n[1:].isdigit() and int(n[1:]) < batch_id), default=None)
+
+
 class EmitChanges:
     """A foreachBatch function that turns updated results into a changelog of -1 and +1 rows.
 
@@ -26,7 +34,9 @@ class EmitChanges:
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch = batch.persist()
-        before = spark.read.schema(batch.schema).parquet(f"{self.path}/v{self.last}") if self.last is not None and self.last < batch_id else spark.createDataFrame([], batch.schema)
+        if self.last is None or self.last >= batch_id:
+            self.last = _version(spark, self.path, batch_id)
+        before = spark.read.schema(batch.schema).parquet(f"{self.path}/v{self.last}") if self.last is not None else spark.createDataFrame([], batch.schema)
         try:
             touched = before.join(batch.select(*self.keys), self.keys, "left_semi")
             self.sink(diff(touched, batch, self.keys), batch_id)
@@ -106,7 +116,9 @@ def lag_lead(df: DataFrame, keys: list[str], order: str, value: str, lag: int =
 
 
 class SortedUpTo:
-    """A foreachBatch function that passes rows on in order once the watermark is past them; rows at or below the last one are dropped."""
+    """A foreachBatch function that passes rows on in order once the watermark is past them; rows at or below the last one are dropped.
+
+    Held rows and the watermark are tables under path, one version a batch, which a new object reads again."""
 
     def __init__(self, ms: str, delay_ms: int, sink: Callable[[DataFrame, int], None], path: str):
         self.ms, self.delay, self.sink, self.path = ms, delay_ms, sink, path
@@ -115,6 +127,9 @@ class SortedUpTo:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        if self.version is None or self.version >= batch_id:
+            self.version = _version(spark, self.path, batch_id)
+            self.mark = None if self.version is None else spark.read.parquet(f"{self.path}/marks/v{self.version}").head()[0]
         held = batch if self.version is None else batch.unionByName(spark.read.schema(batch.schema).parquet(f"{self.path}/v{self.version}"))
         held = held.where(F.col(self.ms).isNotNull() & (F.lit(True) if self.mark is None else F.col(self.ms) > self.mark)).persist()
         try:
@@ -124,6 +139,7 @@ class SortedUpTo:
             mark = max(top - self.delay, self.mark if self.mark is not None else top - self.delay)
             self.sink(held.where(F.col(self.ms) <= mark).orderBy(self.ms), batch_id)
             held.where(F.col(self.ms) > mark).write.mode("overwrite").parquet(f"{self.path}/v{batch_id}")
+            spark.createDataFrame([(mark,)], "mark long").write.mode("overwrite").parquet(f"{self.path}/marks/v{batch_id}")
             self.mark, self.version = mark, batch_id
         finally:
             held.unpersist()
