@@ -148,3 +148,8 @@ def test_emit_changes_over_two_runs(engine):
         engine.run()
     got = rows(engine.results("c"), "symbol", "n", "_weight")
     assert got == [("A", 1, -1), ("A", 1, 1), ("A", 2, 1), ("B", 1, -1), ("B", 1, 1), ("B", 2, 1)]
+
+
+def test_late_data_to_is_refused(engine):
+    with pytest.raises(SqlError, match="LATE DATA TO late_trades is not built"):
+        engine.execute("CREATE STREAM w AS SELECT window_start, count(*) AS n FROM trades GROUP BY tumble(ts, INTERVAL '1' SECOND) EMIT ON WINDOW CLOSE ALLOW LATENESS INTERVAL '1' SECOND LATE DATA TO late_trades")
