@@ -135,3 +135,12 @@ def test_sorted_up_to_goes_on_in_a_new_object(spark, tmp_path):
         each = state.SortedUpTo("ms", 3, lambda b, i: out.extend(r.ms for r in b.collect()), f"{tmp_path}/state")
         each(spark.createDataFrame(b, "ms long"), i)
     assert out == [1, 3, 5, 7, 9]
+
+
+def test_lag_lead_at_the_end_of_time(spark, tmp_path):
+    write(spark, f"{tmp_path}/in", [[("a", 1, 10.0), ("a", 2, 20.0)], [("b", 3, 1.0), ("a", 3, 30.0)], [("c", 60, 5.0)], [("c", 61, 6.0)]], "k string, t long, v double")
+    out = []
+    lag_lead = lambda s: state.lag_lead(s.withColumn("at", F.timestamp_millis("t")).withWatermark("at", "10 milliseconds"), ["k"], "t", "v", 1, 2, event_time="at", default=-1.0)
+    run(spark, f"{tmp_path}/in", "k string, t long, v double", lambda b, i: out.extend((r.k, r.t, r.lag, r.lead, r["at"].microsecond) for r in b.collect()), f"{tmp_path}/c", lag_lead)
+    # c waits: the watermark stands at 51.
+    assert sorted(out) == [("a", 1, -1.0, 30.0, 1000), ("a", 2, 10.0, -1.0, 2000), ("a", 3, 20.0, -1.0, 3000), ("b", 3, -1.0, -1.0, 3000)]

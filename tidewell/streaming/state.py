@@ -76,43 +76,79 @@ class TopK:
 
 
 class Lags(StatefulProcessor):
-    """lag and lead of a column by event time and key: a row goes out once its lead is known, or at the end of its key's time."""
+    """lag and lead of a column by event time and key: a row goes out once its lead is known, or, with an event time, at the end of its key's time.
 
-    def __init__(self, order: str, value: str, lag: int, lead: int, columns: list[str]):
+    That end is when the watermark passes the last row held of the key; what still waits then has default as its lead."""
+
+    def __init__(self, order: str, value: str, lag: int, lead: int, columns: list[str], times: list[str] = (), event_time: str | None = None, zone: str = "UTC", default=None):
         self.order, self.value, self.lag, self.lead, self.columns = order, value, lag, lead, columns
+        self.times, self.event_time, self.zone, self.default = times, event_time, zone, default
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.held = handle.getListState("held", T.StructType([T.StructField("row", T.StringType()), T.StructField("done", T.BooleanType())]))
 
+    def _frame(self, out: list[dict]) -> pd.DataFrame:
+        pdf = pd.DataFrame(out, columns=[*self.columns, "lag", "lead"])
+        for c in self.times:
+            pdf[c] = pd.to_datetime(pdf[c], unit="us")
+        return pdf
+
+    def _rows(self) -> list:
+        import json
+
+        return [(json.loads(r[0]), r[1]) for r in self.held.get()] if self.held.exists() else []
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         import json
 
         new = pd.concat(list(rows))
-        old = [(json.loads(r[0]), r[1]) for r in self.held.get()] if self.held.exists() else []
-        all_rows = old + [(json.loads(x), False) for x in new[self.columns].to_json(orient="records", lines=True).splitlines() if x]
+        all_rows = self._rows() + [(json.loads(x), False) for x in new[self.columns].to_json(orient="records", lines=True, date_unit="us").splitlines() if x]
         all_rows.sort(key=lambda r: r[0][self.order])
         out, keep = [], []
         for i, (row, done) in enumerate(all_rows):
             ready = i + self.lead < len(all_rows)
             if ready and not done:
-                before = all_rows[i - self.lag][0][self.value] if i >= self.lag else None
+                before = all_rows[i - self.lag][0][self.value] if i >= self.lag else self.default
                 out.append({**row, "lag": before, "lead": all_rows[i + self.lead][0][self.value] if self.lead else None})
             # A row is kept while a later one needs it, or it waits for its lead.
             if not ready or i >= len(all_rows) - self.lag - self.lead:
                 keep.append((json.dumps(row), done or ready))
         self.held.put(keep)
-        yield pd.DataFrame(out, columns=[*self.columns, "lag", "lead"])
+        if self.event_time:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            if not all(done for _, done in keep):
+                # pandas has the session's local time; of an hour that comes twice, the later one is sure to be past.
+                last = pd.Timestamp(max(row[self.event_time] for row, _ in all_rows), unit="us").tz_localize(self.zone, ambiguous=False, nonexistent="shift_forward")
+                self.handle.registerTimer(int(last.timestamp() * 1000))
+        yield self._frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        import json
+
+        rows, out = self._rows(), []
+        for i, (row, done) in enumerate(rows):
+            if not done:
+                before = rows[i - self.lag][0][self.value] if i >= self.lag else self.default
+                out.append({**row, "lag": before, "lead": rows[i + self.lead][0][self.value] if i + self.lead < len(rows) else self.default})
+        self.held.put([(json.dumps(row), True) for row, _ in rows])
+        yield self._frame(out)
 
     def close(self) -> None:
         pass
 
 
-def lag_lead(df: DataFrame, keys: list[str], order: str, value: str, lag: int = 1, lead: int = 0) -> DataFrame:
-    """The columns of a streaming df with lag and lead of value. Needs the RocksDB state store."""
+def lag_lead(df: DataFrame, keys: list[str], order: str, value: str, lag: int = 1, lead: int = 0, event_time: str | None = None, default=None) -> DataFrame:
+    """The columns of a streaming df with lag and lead of value. Needs the RocksDB state store.
+
+    event_time is the column that df has its watermark on. Without it a key's time has no end:
+    the last `lead` rows of each key wait for rows to come."""
     kind = df.schema[value].dataType
     schema = T.StructType([*df.schema.fields, T.StructField("lag", kind), T.StructField("lead", kind)])
-    return df.groupBy(*keys).transformWithStateInPandas(Lags(order, value, lag, lead, df.columns), schema, "Append", "None")
+    times = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType))]
+    each = Lags(order, value, lag, lead, df.columns, times, event_time, df.sparkSession.conf.get("spark.sql.session.timeZone"), default)
+    return df.groupBy(*keys).transformWithStateInPandas(each, schema, "Append", "None" if event_time is None else "EventTime")
 
 
 class SortedUpTo:
