@@ -12,7 +12,7 @@ def make(spark):
         if extra:  # columns that clash with names the operators use
             from pyspark.sql import functions as F
 
-            for c in ("size", "rank", "shard", "score", "b", "k", "th", "id", "rep", "component_id", "source_size", "target", "__n"):
+            for c in ("size", "rank", "shard", "score", "b", "k", "th", "id", "rep", "component_id", "source_size", "target", "__n", "__k", "__ss", "__t", "__id", "__th", "__spans", "__gone", "the_id", "the_hash", "the_number", "the_spans", "n_tokens", "ids", "decoded_sha256"):
                 df = df.withColumn(c, F.lit("x"))
         return df
 

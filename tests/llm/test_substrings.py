@@ -34,6 +34,25 @@ def test_as_brute_force(make, corpus, monkeypatch):
     assert sum(w[2] for w in want) > 1000
 
 
+def test_hot_names_and_long_texts(make, corpus, monkeypatch):
+    """A short line in many texts, each time among other bytes, and texts cut into many pieces."""
+    monkeypatch.setattr(substrings, "HOT", 20)
+    monkeypatch.setattr(substrings, "CHUNK_BYTES", 3000)
+    rng = random.Random(9)
+    noise = lambda n: "".join(chr(rng.randrange(97, 123)) for _ in range(n))
+    line, shared = noise(40), noise(70)
+    rows = [(5000 + i, noise(60) + line + noise(60) + (shared if i % 3 == 0 else ""), "s") for i in range(300)]
+    long = noise(9000)
+    rows += [(8000, long, "s"), (8001, noise(100) + long[500:8000] + noise(100), "s"), (8002, long[2900:3100], "s"), (4999, noise(20) + line + noise(60), "s")]
+    rows += corpus
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.digests(make(rows)).collect())
+    assert got == brute(rows)
+    data = np.frombuffer("".join(t for _, t, _ in rows[:300]).encode(), np.uint8)
+    offs = np.r_[0, np.cumsum([len(t) for _, t, _ in rows[:300]])]
+    _, _, many = substrings._of_chunk(data, *substrings.stretches(data, offs), np.arange(300))
+    assert many.max() > 200  # the line's name is hot
+
+
 def test_remaining_texts(make):
     twice = "é" * 30 + "x" * 30
     rows = [(2, "A" + twice + "Z", "s"), (1, twice, "s"), (3, None, None), (4, "", None)]

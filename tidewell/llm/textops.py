@@ -11,23 +11,32 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
 
 def frugal(run):
-    """run, for mapInArrow and its kin; at a task's end the worker, which lives on, gives freed memory back."""
+    """run, for mapInArrow and its kin; the worker, which lives on after a task, gives freed memory back.
+
+    Arrays of over 4 MB are mapped one by one, so they go as soon as they are freed; the rest goes at the task's end."""
 
     @wraps(run)
     def one(batches):
-        yield from run(batches)
         with suppress(Exception):
-            ctypes.CDLL(None).malloc_trim(0)
+            ctypes.CDLL(None).mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+        yield from run(batches)
+        give_back()
 
     return one
 
 
+def give_back() -> None:
+    with suppress(Exception):
+        pa.default_memory_pool().release_unused()
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     h = h ^ (h >> U(31))
