@@ -30,11 +30,23 @@ def run(spark, path, schema, each, tmp, transform=lambda df: df, mode="append"):
 def test_late_split(spark, tmp_path):
     write(spark, f"{tmp_path}/in", [[(100,), (200,)], [(150,), (300,), (200,)], [(None,), (290,)]], "ms long")
     good, late = [], []
-    split = LateSplit("ms", 10, lambda b, i: good.extend(r.ms for r in b.collect()), lambda b, i: late.extend(r.ms for r in b.collect()))
+    split = LateSplit(F.col("ms"), 10, lambda b, i: good.extend(r.ms for r in b.collect()), lambda b, i: late.extend(r.ms for r in b.collect()), f"{tmp_path}/s")
     run(spark, f"{tmp_path}/in", "ms long", split, f"{tmp_path}/c")
     assert sorted(good) == [200, 290, 300] and sorted(late) == [100, 150, 200] and split.dropped == 3
 
 
+def test_late_split_by_window_goes_on(spark, tmp_path):
+    """Every batch has a new object, which reads the watermark that the one before has left."""
+    good, late = [], []
+    end = F.floor(F.col("ms") / 100) * 100 + 100
+    for i, rows in enumerate([[100, 205], [150, 199, 301], [205, 290, 310, None], [250, 310]]):
+        split = LateSplit(F.col("ms"), 0, lambda b, i: good.extend((i, r.ms) for r in b.collect()), lambda b, i: late.extend((i, r.ms) for r in b.collect()), f"{tmp_path}/s", end, 5)
+        split(spark.createDataFrame([(x,) for x in rows], "ms long"), i)
+    # After batch 0 the watermark is 205: the window up to 200 and 5 more are over; after batch 2 it is 310.
+    assert sorted(late) == [(1, 150), (1, 199), (3, 250)]
+    assert sorted(good) == [(0, 100), (0, 205), (1, 301), (2, 205), (2, 290), (2, 310), (3, 310)]
+
+
 def test_emit_changes(spark, tmp_path):
     write(spark, f"{tmp_path}/in", [[("a", 1)], [("a", 2), ("b", 1)], [("c", 1)]], "k string, v int")
     out = []
@@ -46,9 +58,14 @@ def test_emit_changes(spark, tmp_path):
 def test_stream_top_k(spark, tmp_path):
     write(spark, f"{tmp_path}/in", [[(1, 5), (2, 7)], [(3, 6)], [(4, 1)]], "id int, v int")
     out = []
-    top = state.TopK(2, [F.desc("v")], lambda b, i: out.extend((i, r["rank"], r._weight, r.id) for r in b.collect()))
+    top = state.TopK(2, [F.desc("v")], lambda b, i: out.extend((i, r["rank"], r._weight, r.id) for r in b.collect()), f"{tmp_path}/s")
     run(spark, f"{tmp_path}/in", "id int, v int", top, f"{tmp_path}/c")
     assert sorted(out) == [(0, 1, 1, 2), (0, 2, 1, 1), (1, 2, -1, 1), (1, 2, 1, 3)]
+    # A new object goes on from the last version; a batch that runs twice gives the same rows.
+    for _ in range(2):
+        again = []
+        state.TopK(2, [F.desc("v")], lambda b, i: again.extend((r["rank"], r._weight, r.id) for r in b.collect()), f"{tmp_path}/s")(spark.createDataFrame([(5, 9)], "id int, v int"), 3)
+        assert sorted(again) == [(1, -1, 2), (1, 1, 5), (2, -1, 3), (2, 1, 2)]
 
 
 def test_lag_lead(spark, tmp_path):

@@ -3,7 +3,10 @@
 Sources are append-only. One without a connector keeps what is inserted as Parquet files, which
 streams read in the order of insertion; one with the files connector reads a folder. A stream is
 a Structured Streaming query from its sources to a table of results; run() processes what there
-is and stops, start() keeps running. Ad-hoc SELECTs read the sources' present rows."""
+is and stops, start() keeps running. Ad-hoc SELECTs read the sources' present rows.
+
+What a stream has to remember (its place in the sources, keyed state, last results) lies under the
+engine's path, so a new Engine on the same path, given the same statements, goes on from there."""
 
 from __future__ import annotations
 
@@ -13,26 +16,32 @@ import time
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import islice
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .functions.time import millis
 from .operators.joins import asof_join
-from .operators.topk import UnboundedSort
+from .operators.topk import UnboundedSort, order
 from .plans import rewrite
 from .plans.catalog import Catalog, Entry
 from .plans.ddl import Statement, parse
 from .plans.lexer import SqlError, statements, substitute, tokens
 from .sources import connectors
-from .streaming.state import EmitChanges
-from .streaming.time import with_event_time
+from .streaming.ordered import asof_stream, lags_stream
+from .streaming.state import EmitChanges, TopK
+from .streaming.time import LateSplit, with_event_time
 
 
 @dataclass
 class Subscription:
     """Results of a stream, batch by batch."""
 
+    CHUNK: ClassVar[int] = 10_000
+
     predicate: str | None = None
     callback: Callable[[list[Row]], None] | None = None
     size: int = 1024
@@ -41,12 +50,15 @@ class Subscription:
     _queue: queue.Queue = field(default_factory=queue.Queue)
 
     def offer(self, batch: DataFrame) -> None:
-        rows = (batch.where(self.predicate) if self.predicate else batch).collect()
-        if not rows:
-            return
-        if self.callback:
-            self.callback(rows)
-            return
+        """The batch's rows in lists of CHUNK at most, fetched one partition after another; a full queue drops by its policy."""
+        rows = (batch.where(self.predicate) if self.predicate else batch).toLocalIterator()
+        while part := list(islice(rows, self.CHUNK)):
+            if self.callback:
+                self.callback(part)
+            else:
+                self._put(part)
+
+    def _put(self, rows: list[Row]) -> None:
         while self._queue.qsize() >= self.size:
             self.dropped += 1
             if self.policy == "drop_newest":
@@ -68,9 +80,35 @@ class Subscription:
             yield x
 
 
-class Engine:
-    STATES = ("created", "starting", "running", "shutting_down", "stopped")
+#: What may follow a relation without being its alias.
+_CLAUSES = ("WHERE", "GROUP", "ORDER", "HAVING", "LIMIT", "OFFSET", "JOIN", "INNER", "LEFT", "RIGHT", "FULL", "CROSS", "NATURAL", "ON", "USING", "UNION", "INTERSECT", "EXCEPT", "MINUS", "WINDOW", "SEMI", "ANTI", "LATERAL", "PIVOT", "TABLESAMPLE")
+
+
+class Writer:
+    """Rows for a source or table, pushed size at a time and at the end."""
+
+    def __init__(self, engine: Engine, name: str, size: int):
+        self.engine, self.name, self.size, self.rows = engine, name, size, []
 
+    def write(self, *row) -> None:
+        self.rows.append(row)
+        if len(self.rows) >= self.size:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.rows:
+            self.engine.push(self.name, self.rows)
+            self.rows = []
+
+    def __enter__(self) -> Writer:
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        if kind is None:
+            self.flush()
+
+
+class Engine:
     def __init__(self, spark: SparkSession, path: str, variables: dict[str, str] | None = None):
         self.spark, self.path, self.variables = spark, path.rstrip("/"), variables or {}
         self.catalog = Catalog()
@@ -78,7 +116,10 @@ class Engine:
         self.running: dict[str, object] = {}
         self.subscriptions: dict[str, list[Subscription]] = {}
         self.watermarks: dict[str, int] = {}
-        self._n = 0
+        self.connectors: dict[str, tuple[Callable | None, Callable | None]] = {}
+        self._seq: dict[str, int] = {}
+        self._kept: dict[str, tuple[DataFrame, float]] = {}
+        self._folders: dict[str, str] = {}
 
     # --- statements ----------------------------------------------------------------------------
 
@@ -99,7 +140,7 @@ class Engine:
     def _source(self, s: Statement) -> None:
         if s.schema is None and s.connector is None:
             raise SqlError("a source without a connector needs columns")
-        if s.connector not in (None, "files", "memory", "kafka"):
+        if s.connector not in (None, "files", "memory", "kafka") and self.connectors.get(s.connector, (None,))[0] is None:
             raise SqlError(f"unknown connector: {s.connector}")
         self._entry(s)
 
@@ -121,6 +162,15 @@ class Engine:
             if not any(x.watermark for x in sources if x.kind == "source") and not any(x.kind in ("stream", "view") for x in sources):
                 raise SqlError("EMIT ON WINDOW CLOSE and FINAL need a watermark")
         self._check_streaming(s.query, window)
+        if s.late_sink:
+            if window is None or len(sources) != 1 or sources[0].kind != "source" or not sources[0].watermark:
+                raise SqlError("LATE DATA TO needs a window over one source with a watermark")
+            if s.late_sink.lower() not in self.catalog.entries:
+                self.catalog.add(Entry("sink", s.late_sink, Statement("sink", s.late_sink), state="passive"))
+            self.catalog.get(s.late_sink, "sink")
+        if rewrite.top(s.query) is not None and re.search(r"\bGROUP\s+BY\b", s.query, re.I):
+            raise SqlError("ORDER BY ... LIMIT on a stream ranks rows, not groups: put the groups in a stream of their own")
+        rewrite.lags(s.query)
         self._entry(s, s.query)
 
     _view = _stream
@@ -142,7 +192,7 @@ class Engine:
             raise SqlError("UNBOUNDED FOLLOWING can't run on streams")
 
     def _sink(self, s: Statement) -> None:
-        if s.connector not in (None, "files", "memory", "kafka", "postgres", "delta", "iceberg"):
+        if s.connector not in (None, "files", "memory", "kafka", "postgres", "database", "delta", "iceberg") and self.connectors.get(s.connector, (None, None))[1] is None:
             raise SqlError(f"unknown connector: {s.connector}")
         plain = re.fullmatch(r"\w+", s.query) is not None
         sql = f"SELECT * FROM {s.query}" if plain else s.query
@@ -207,9 +257,48 @@ class Engine:
         """Append rows to a source, or upsert them into a table."""
         e = self.catalog.get(name, "source", "table")
         df = rows if isinstance(rows, DataFrame) else self.spark.createDataFrame(rows, e.statement.schema)
-        self._n += 1
-        # One file a push, so that streams see pushes in order.
-        df.withColumn("__seq", F.lit(self._n).cast("long")).coalesce(1).write.mode("append").parquet(f"{self.path}/data/{name.lower()}")
+        folder = f"{self.path}/data/{name.lower()}"
+        if name.lower() not in self._seq:  # go on from what is stored
+            self._mkdirs(folder)
+            self._seq[name.lower()] = self.spark.read.schema("__seq long").parquet(folder).agg(F.max("__seq")).head()[0] or 0
+        self._seq[name.lower()] += 1
+        # Streams see pushes in order, for files are taken by their time.
+        df.withColumn("__seq", F.lit(self._seq[name.lower()]).cast("long")).write.mode("append").parquet(folder)
+
+    def writer(self, name: str, size: int = 1000) -> Writer:
+        """Gathers rows and pushes them size at a time; use in a with statement."""
+        self.catalog.get(name, "source", "table")
+        return Writer(self, name, size)
+
+    # --- what users add ------------------------------------------------------------------------
+
+    def register_function(self, name: str, f: Callable, returns: str) -> None:
+        """A scalar function of pandas Series for SQL."""
+        self.spark.udf.register(name, F.pandas_udf(f, returns))
+
+    def register_aggregate(self, name: str, f: Callable, returns: str) -> None:
+        """An aggregate of pandas Series (with type hints, to one number) for SQL over tables and sources' present rows."""
+        self.spark.udf.register(name, F.pandas_udf(f, returns))
+
+    def register_table_function(self, name: str, handler: type, returns: str) -> None:
+        """A class whose eval() yields rows, for SELECT ... FROM name(...)."""
+        self.spark.udtf.register(name, F.udtf(handler, returnType=returns))
+
+    def register_connector(self, name: str, read: Callable | None = None, write: Callable | None = None) -> None:
+        """read(spark, options, schema, streaming) gives a source's rows; write(batch, options, batch_id) puts a sink's."""
+        self.connectors[name.lower()] = (read, write)
+
+    def get_schema(self, name: str) -> T.StructType:
+        return T.StructType([f for f in self.frame(name).schema if f.name != rewrite.EVENT_TIME])
+
+    def names(self, kind: str) -> list[str]:
+        """Names of all objects of a kind (source, table, stream, view, sink)."""
+        return sorted(e.name for e in self.catalog.entries.values() if e.kind == kind)
+
+    def refresh(self, name: str) -> None:
+        """Read a reference table anew when it is next used."""
+        self.catalog.get(name, "table")
+        self._kept.pop(name.lower(), None)
 
     def advance(self, source: str, watermark_ms: int) -> None:
         """An external watermark of a source; it never falls."""
@@ -228,7 +317,13 @@ class Engine:
             return self._sql(s.query, streaming, s.lateness_ms)
         if e.kind == "sink":
             raise SqlError(f"{name} is a sink")
-        if s.connector == "files":
+        if name.lower() in self._folders and streaming:
+            df = self.spark.readStream.schema(s.schema).option("recursiveFileLookup", "true").parquet(self._folders[name.lower()])
+        elif s.connector in self.connectors:
+            df = self.connectors[s.connector][0](self.spark, s.options, s.schema, streaming and e.kind == "source")
+        elif e.kind == "table" and "refresh" in s.options and s.connector == "files":
+            df = self._reference(s)
+        elif s.connector == "files":
             df = connectors.read_files(self.spark, s.options | ({"format": s.format} if s.format else {}), s.schema, streaming and e.kind == "source")
         elif s.connector == "kafka":
             reader = (self.spark.readStream if streaming else self.spark.read).format("kafka")
@@ -252,29 +347,43 @@ class Engine:
             df = with_event_time(df, s.watermark.column, s.watermark.delay_ms, lateness_ms)
         return df
 
+    def _reference(self, s: Statement) -> DataFrame:
+        """A reference table as it was read last: once (snapshot), after refresh() (manual), or again after so many seconds (periodic).
+
+        What was read is a copy under the engine's path; with cache_mode none the files are read at each use."""
+        mode, every = connectors.reference_refresh(s.options["refresh"])
+        key, now = s.name.lower(), time.monotonic()
+        kept = self._kept.get(key)
+        if s.options.get("cache_mode") == "none" or kept is None or (mode == "periodic" and now - kept[1] >= every):
+            options = {k: v for k, v in s.options.items() if not k.startswith(("refresh", "cache_"))} | ({"format": s.format} if s.format else {})
+            df = connectors.read_files(self.spark, options, s.schema, False)
+            if s.options.get("cache_mode") == "none":
+                return df
+            copy = f"{self.path}/reference/{key}-{uuid.uuid4().hex}"
+            df.write.parquet(copy)
+            self._kept[key] = (self.spark.read.schema(df.schema).parquet(copy), now)
+        return self._kept[key][0]
+
     def _mkdirs(self, path: str) -> None:
         jvm = self.spark._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).mkdirs(p)
 
     def _sql(self, sql: str, streaming: bool = False, lateness_ms: int = 0) -> DataFrame:
-        names = self.catalog.references(sql)
-        frames = {n: self.frame(n, streaming, lateness_ms) for n in names}
         mark = "NULL" if not self.watermarks else f"timestamp_millis({min(self.watermarks.values())}L)"
-        sql = re.sub(r"\bwatermark\s*\(\s*\)", mark, sql, flags=re.I)
+        sql = rewrite.call(sql, "WATERMARK", mark)
         if (a := rewrite.asof(sql)) is not None:
-            left, right = self.frame(a.left), self.frame(a.right)
-            drop = [c for c in (rewrite.EVENT_TIME,) if c in right.columns]
-            keys = [k for k, _ in a.keys]
-            right = right.drop(*drop).withColumnsRenamed({r: k for k, r in a.keys if r != k})
-            joined = asof_join(left, right, keys, a.left_time, a.right_time, a.direction, a.tolerance, suffix=f"_{a.right}")
-            clash = set(left.columns)
-            text = re.sub(rf"\b{a.right_alias}\.(\w+)", lambda m: f"{m[1]}_{a.right}" if m[1] in clash and m[1] not in keys else m[1], a.sql)
-            text = re.sub(rf"\b{a.left_alias}\.(\w+)", r"\1", text)
-            frames["asof"] = joined.drop(rewrite.EVENT_TIME)
-            sql = text.replace("{asof}", "__asof")
-            names = (names - {a.left.lower(), a.right.lower()}) | {"__asof"}
-            frames["__asof"] = frames.pop("asof")
+            sql, names, frames = self._asof(sql, a, streaming, lateness_ms)
+        else:
+            names = self.catalog.references(sql)
+            frames = {n: self.frame(n, streaming, lateness_ms) for n in names}
+        if streaming and (found := rewrite.lags(sql)) is not None:
+            if len(names) != 1:
+                raise SqlError("LAG and LEAD on streams take one relation")
+            (n,) = names
+            if rewrite.EVENT_TIME not in frames[n].columns:
+                frames[n] = with_event_time(frames[n], found.order, 0)
+            frames[n], sql = lags_stream(frames[n], found.keys, found.calls), found.sql
         integers = {f.name.lower() for df in frames.values() for f in df.schema if isinstance(f.dataType, (T.LongType, T.IntegerType))}
         sql = rewrite.renames(rewrite.intervals(sql, integers))
         if rewrite.find_window(sql) is not None:
@@ -288,23 +397,38 @@ class Engine:
         for n in names:
             views[n] = f"__v_{n}_{uuid.uuid4().hex[:8]}"
             frames[n].createOrReplaceTempView(views[n])
-        out, at = [], 0
-        relation = False
-        toks = tokens(sql)
-        for i, t in enumerate(toks):
-            low = t.value.lower() if t.kind == "name" else ""
+        out, at, toks = [], 0, tokens(sql)
+        found = self.catalog.relations(sql) if "__asof" not in names else [(t.start, t.end, "__asof") for t in toks if t.value == "__asof"]
+        for start, end, n in found:
+            i = next(k for k, t in enumerate(toks) if t.start == start)
             after = toks[i + 1].upper if i + 1 < len(toks) else ""
-            if t.upper in ("FROM", "JOIN"):
-                relation = True
-            elif t.kind == "name" and relation and low in views:
-                alias = "" if re.fullmatch(r"\w+", after) and after not in ("WHERE", "GROUP", "ORDER", "HAVING", "LIMIT", "JOIN", "INNER", "LEFT", "RIGHT", "FULL", "CROSS", "ON", "USING", "UNION", "INTERSECT", "EXCEPT", "WINDOW", "SEMI", "ANTI") else f" AS {t.text}"
-                out += [sql[at : t.start], views[low] + alias]
-                at = t.end
-                relation = after == ","
-            elif relation and t.text != ",":
-                relation = t.text == "(" and False
+            aliased = re.fullmatch(r"[A-Za-z_`\"].*", after, re.S) and after not in _CLAUSES
+            out += [sql[at:start], views[n] + ("" if aliased else f" AS {toks[i].text}")]
+            at = end
         return self._tidy(self.spark.sql("".join([*out, sql[at:]])))
 
+    def _asof(self, sql: str, a: rewrite.Asof, streaming: bool, lateness_ms: int) -> tuple[str, set[str], dict[str, DataFrame]]:
+        """The query with its ASOF JOIN as one relation. On streams the join waits for the watermark; else it reads both sides' present rows."""
+        left, right = self.frame(a.left, streaming, lateness_ms), self.frame(a.right, streaming, lateness_ms)
+        keys = [k for k, _ in a.keys]
+        right = right.withColumnsRenamed({r: k for k, r in a.keys if r != k})
+        if streaming:
+            if not (left.isStreaming and right.isStreaming):
+                raise SqlError("both sides of an ASOF JOIN in a stream have to be streams")
+            sides = [df if rewrite.EVENT_TIME in df.columns else with_event_time(df, t, 0) for df, t in ((left, a.left_time), (right, a.right_time))]
+            joined = asof_stream(*sides, keys, a.direction, a.tolerance, suffix=f"_{a.right}")
+        else:
+            left, right = left.drop(rewrite.EVENT_TIME), right.drop(rewrite.EVENT_TIME)
+
+            def ms(df: DataFrame, column: str):
+                return F.col(column).cast("long") if isinstance(df.schema[column].dataType, (T.LongType, T.IntegerType)) else millis(column)
+
+            left, right = left.withColumn("__lt", ms(left, a.left_time)), right.withColumn("__rt", ms(right, a.right_time))
+            joined = asof_join(left, right, keys, "__lt", "__rt", a.direction, a.tolerance, suffix=f"_{a.right}").drop("__lt", "__rt")
+        clash = {c: f"{c}_{a.right}" for c in left.columns if c not in keys}
+        text = rewrite.unqualified(a.sql, a.right_alias, clash | {r: k for k, r in a.keys})
+        return rewrite.unqualified(text, a.left_alias, {}).replace("{asof}", "__asof"), {"__asof"}, {"__asof": joined}
+
     def _tidy(self, df: DataFrame) -> DataFrame:
         return df.drop(rewrite.EVENT_TIME) if rewrite.EVENT_TIME in df.columns and not df.isStreaming else df
 
@@ -329,11 +453,33 @@ class Engine:
         self.state = "running"
         for name in self.catalog.order():
             e = self.catalog.entries[name]
+            if e.statement.late_sink and e.state == "running":
+                self._part_late(e, trigger)
             if e.kind in ("stream", "view") and self._unbounded(name) and e.state == "running":
                 self.running[name] = self._continuous(e, trigger)
-            elif e.kind == "sink":
+            elif e.kind == "sink" and e.state != "passive":
                 self.running[name] = self._continuous(e, trigger)
 
+    def _part_late(self, e: Entry, trigger: dict | None) -> None:
+        """Part the rows of a stream's source: those in time go to files that the stream reads, late ones to its late sink."""
+        s = e.statement
+        (source,) = self.catalog.references(s.query)
+        own, w = self.catalog.get(source).statement, rewrite.find_window(s.query)
+        df = self.frame(source, True).drop(rewrite.EVENT_TIME)
+        column = own.watermark.column
+        ms = F.col(column).cast("long") if isinstance(own.schema[column].dataType, (T.LongType, T.IntegerType)) else millis(column)
+        folder, sink = f"{self.path}/in_time/{e.name.lower()}", self.catalog.get(s.late_sink, "sink").statement
+        self._mkdirs(folder)
+        in_time = lambda batch, i: batch.drop("__ms").write.mode("overwrite").parquet(f"{folder}/b{i}")
+        late = lambda batch, i: self._write(sink, batch.drop("__ms"), i)
+        split = LateSplit(F.col("__ms"), own.watermark.delay_ms, in_time, late, f"{self.path}/late/{e.name.lower()}", F.expr(rewrite.last_end(w, "__ms")), s.lateness_ms)
+        q = df.withColumn("__ms", ms).writeStream.foreachBatch(split).option("checkpointLocation", f"{self.path}/checkpoints/{e.name.lower()}__late")
+        q = (q.trigger(**trigger) if trigger else q).start()
+        if trigger:
+            q.awaitTermination()
+        else:
+            self.running[f"{e.name.lower()}__late"] = q
+
     def _unbounded(self, name: str) -> bool:
         return any(self.catalog.entries[n].kind == "source" for n in self.catalog.closure({name}) if n in self.catalog.entries)
 
@@ -345,7 +491,20 @@ class Engine:
             source = self.catalog.entries.get(upstream.lower()).statement if upstream else s
             emit = source.emit if source.kind in ("stream", "view") else s.emit
         else:
-            df, emit = self._sql(s.query, True, s.lateness_ms), s.emit
+            first = rewrite.top(s.query)
+            emit = s.emit
+            if s.late_sink:
+                (source,) = self.catalog.references(s.query)
+                self._folders[source] = f"{self.path}/in_time/{name}"
+                try:
+                    df = self._sql(s.query, True, s.lateness_ms)
+                finally:
+                    del self._folders[source]
+            elif (each := rewrite.distinct(s.query)) is not None:
+                df = self._sql(each, True, s.lateness_ms)
+                df = df.dropDuplicates([c for c in df.columns if c != rewrite.EVENT_TIME])
+            else:
+                df = self._sql(first.sql if first else s.query, True, s.lateness_ms)
         if rewrite.EVENT_TIME in df.columns:
             df = df.drop(rewrite.EVENT_TIME)
         if e.kind == "sink" and s.where:
@@ -366,6 +525,9 @@ class Engine:
         if emit.mode == "changes" and aggregates:
             keys = [c for c in df.columns if c in ("window_start", "window_end") or c in self._grouped(s.query)]
             each = EmitChanges(keys, f"{self.path}/changes/{name}", deliver)
+        if e.kind != "sink" and first:
+            by = [order(o.column, o.descending, o.nulls_first) for o in first.order]
+            each = TopK(first.k, by, deliver, f"{self.path}/top/{name}", first.keys)
         w = df.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", f"{self.path}/checkpoints/{name}").queryName(f"{name}_{uuid.uuid4().hex[:6]}")
         if trigger:
             w = w.trigger(**trigger)
@@ -386,6 +548,10 @@ class Engine:
             from .sources.formats import encode
 
             encode(batch, s.format or "json").write.format("kafka").options(**connectors.kafka_sink(s.options)).save()
+        elif s.connector in self.connectors:
+            self.connectors[s.connector][1](batch, s.options, batch_id)
+        elif s.connector in ("postgres", "database"):
+            connectors.write_database(batch, s.options)
         else:
             raise SqlError(f"{s.connector} needs its driver on the class path")
 
@@ -395,8 +561,14 @@ class Engine:
         folder = "sinks" if e.kind == "sink" else "results"
         path = e.statement.options["path"] if e.kind == "sink" and e.statement.connector == "files" else f"{self.path}/{folder}/{name.lower()}"
         reader = self.spark.read.format(e.statement.format or "parquet") if e.kind == "sink" and e.statement.connector == "files" else self.spark.read
+        if not self._exists(path):  # nothing has come yet
+            return self.spark.createDataFrame([], self.get_schema(name)) if e.kind != "sink" else self.spark.createDataFrame([], "none int").drop("none")
         return reader.load(path).drop("batch", "_batch")
 
+    def _exists(self, path: str) -> bool:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+
     def subscribe(self, name: str, predicate: str | None = None, callback=None, **options) -> Subscription:
         self.catalog.get(name, "stream", "view", "sink")
         sub = Subscription(predicate, callback, **options)

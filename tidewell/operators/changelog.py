@@ -32,6 +32,26 @@ def retract_min_max(df: DataFrame, keys: list[str], value: str, weight: str = "_
     return consolidate(df.select(*keys, value, weight), [*keys, value], weight).where(F.col(weight) > 0).groupBy(*keys).agg(F.min(value).alias("min"), F.max(value).alias("max"))
 
 
+def retract_first_last(df: DataFrame, keys: list[str], value: str, order: list[str], weight: str = "_weight") -> DataFrame:
+    """The earliest and the latest value, by order, among those with a positive net weight."""
+    alive = consolidate(df.select(*keys, *order, value, weight), [*keys, *order, value], weight).where(F.col(weight) > 0)
+    by = F.struct(*order)
+    return alive.groupBy(*keys).agg(F.min_by(value, by).alias("first"), F.max_by(value, by).alias("last"))
+
+
+def late_retractions(given: DataFrame, late: DataFrame, keys: list[str], merge: dict) -> DataFrame:
+    """The changelog that late rows' results make of results given before: a pair for each that changes, an insert for a new one.
+
+    merge says for each value column how an old and a late value become one."""
+    values = list(merge)
+    old = given.select(*keys, F.struct(*values).alias("__g"))
+    new = late.select(*keys, F.struct(*values).alias("__l")).join(old, keys, "left")
+    # Only results that late rows touch are compared.
+    before = new.where("__g is not null").select(*keys, *(F.col(f"__g.{v}").alias(v) for v in values))
+    after = new.select(*keys, *(F.when(F.col("__g").isNull(), F.col(f"__l.{v}")).otherwise(merge[v](F.col(f"__g.{v}"), F.col(f"__l.{v}"))).alias(v) for v in values))
+    return diff(before, after, keys)
+
+
 def upsert_latest(df: DataFrame, keys: list[str], order: list[str], op: str | None = None) -> DataFrame:
     """The table after a log of upserts; with op, keys whose last change is a delete are gone."""
     rest = [c for c in df.columns if c not in keys]

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .changelog import diff
+
 
 def _right_names(left: DataFrame, right: DataFrame, keys: list[str], prefix: str) -> dict[str, str]:
     return {c: f"{prefix}{c}" for c in right.columns if c in left.columns and c not in keys}
@@ -104,6 +106,16 @@ def process_time_join(left: DataFrame, versions: DataFrame, keys: list[str], *by
     return left.join(v.withColumnsRenamed(_right_names(left, v, keys, "right_")), keys, how)
 
 
+def temporal_changes(left: DataFrame, before: DataFrame, after: DataFrame, keys: list[str], by: list[str], row: list[str], values: list[str]) -> DataFrame:
+    """What a change of the versions does to the inner process-time join with left, whose rows have the key row: -1 for what is no longer so, +1 for what is now.
+
+    Only keys whose present version has changed are joined again."""
+    old, new = (latest(v, keys, *by).select(*keys, *values) for v in (before, after))
+    changed = diff(old, new, keys).select(*keys).distinct()
+    rows = left.join(changed, keys, "left_semi")
+    return diff(*(rows.join(v, keys).select(*row, *values) for v in (old, new)), row)
+
+
 def recent_versions(versions: DataFrame, keys: list[str], n: int, *by: str) -> DataFrame:
     """The n most recent versions of each key."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*(F.col(b).desc() for b in by)))

@@ -35,6 +35,11 @@ def need(options: dict[str, str], *names: str) -> None:
 def read_files(spark: SparkSession, options: dict[str, str], schema: T.StructType | None, streaming: bool) -> DataFrame:
     need(options, "path")
     fmt = options.get("format", "parquet").lower()
+    if fmt in ("debezium", "raw"):  # a record a line
+        from .formats import decode
+
+        lines = read_files(spark, options | {"format": "text"}, T.StructType([T.StructField("value", T.StringType())]), streaming)
+        return decode(lines, fmt, schema)
     if fmt not in FILE_FORMATS:
         raise ConnectorError(f"unknown file format: {fmt}")
     reader = spark.readStream if streaming else spark.read
@@ -135,6 +140,51 @@ def postgres_writer(options: dict[str, str], columns: list[str]) -> dict[str, st
     return {"url": url, "dbtable": staged, "merge": f"INSERT INTO {target} ({names}) SELECT {names} FROM {staged} ON CONFLICT ({', '.join(f'{chr(34)}{k}{chr(34)}' for k in keys)}) {act}"}
 
 
+def insert_statement(options: dict[str, str], columns: list[str], mark: str = "?") -> str:
+    """The INSERT of one row; with write.mode upsert it replaces the row of the same primary key."""
+    need(options, "table.name")
+    names, keys = ", ".join(f'"{c}"' for c in columns), [k.strip() for k in options.get("primary.key", "").split(",") if k.strip()]
+    sql = f"INSERT INTO {options['table.name']} ({names}) VALUES ({', '.join([mark] * len(columns))})"
+    mode = options.get("write.mode", "append")
+    if mode == "append":
+        return sql
+    if mode != "upsert" or not keys:
+        raise ConnectorError("write.mode is append, or upsert with a primary.key")
+    rest = [c for c in columns if c not in keys]
+    act = "DO UPDATE SET " + ", ".join(f'"{c}" = excluded."{c}"' for c in rest) if rest else "DO NOTHING"
+    return f"{sql} ON CONFLICT ({', '.join(f'{chr(34)}{k}{chr(34)}' for k in keys)}) {act}"
+
+
+def write_database(df: DataFrame, options: dict[str, str], rows: int = 1000) -> int:
+    """Write rows through a Python database driver, one connection and transaction a task; the number of rows.
+
+    driver names its connect function (module:function); connect is what it is given. With
+    write.mode upsert a task or batch that runs twice leaves the same rows; append delivers at least once."""
+    need(options, "driver", "connect", "table.name")
+    statement = insert_statement(options, df.columns, options.get("parameter", "?"))
+    module, _, function = options["driver"].partition(":")
+
+    def put(batches):
+        import importlib
+
+        import pyarrow as pa
+
+        connection = getattr(importlib.import_module(module), function or "connect")(options["connect"])
+        n = 0
+        try:
+            for b in batches:
+                for at in range(0, b.num_rows, rows):
+                    part = b.slice(at, rows)
+                    connection.cursor().executemany(statement, list(zip(*(c.to_pylist() for c in part.columns), strict=True)))
+                    n += part.num_rows
+            connection.commit()
+        finally:
+            connection.close()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    return sum(r.n for r in df.mapInArrow(put, "n long").collect())
+
+
 def lake_writer(options: dict[str, str]) -> dict[str, str]:
     """Options of a Delta or Iceberg write; a writer id makes batches idempotent."""
     need(options, "table.path")

@@ -13,7 +13,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from ..operators.changelog import diff
 
 
-def _version(spark, path: str, batch_id: int) -> int | None:
+def version_before(spark, path: str, batch_id: int) -> int | None:
     """The highest version below batch_id under path. Batches run one after another, so it is whole."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -35,7 +35,7 @@ class EmitChanges:
         spark = batch.sparkSession
         batch = batch.persist()
         if self.last is None or self.last >= batch_id:
-            self.last = _version(spark, self.path, batch_id)
+            self.last = version_before(spark, self.path, batch_id)
         before = spark.read.schema(batch.schema).parquet(f"{self.path}/v{self.last}") if self.last is not None else spark.createDataFrame([], batch.schema)
         try:
             touched = before.join(batch.select(*self.keys), self.keys, "left_semi")
@@ -49,12 +49,12 @@ class EmitChanges:
 class TopK:
     """A foreachBatch function for ORDER BY ... LIMIT k on a stream: the rank changes of each batch.
 
-    State is the k best rows so far, so a batch costs one top-k of itself."""
+    State is the k best rows so far (of each key), a table under path, one version a batch, which a
+    new object reads again; so a batch costs one top-k of itself."""
 
-    def __init__(self, k: int, order: list[Column], sink: Callable[[DataFrame, int], None], keys: list[str] | None = None):
-        self.k, self.order, self.sink, self.keys = k, order, sink, keys or []
-        self.rows: list = []
-        self.schema: T.StructType | None = None
+    def __init__(self, k: int, order: list[Column], sink: Callable[[DataFrame, int], None], path: str, keys: list[str] | None = None):
+        self.k, self.order, self.sink, self.path, self.keys = k, order, sink, path, keys or []
+        self.last: int | None = None
 
     def _top(self, df: DataFrame) -> DataFrame:
         by = Window.partitionBy(*self.keys).orderBy(*self.order)
@@ -63,14 +63,15 @@ class TopK:
         return df.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= self.k)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        spark, self.schema = batch.sparkSession, batch.schema
-        before = spark.createDataFrame(self.rows, batch.schema)
-        after = before.unionByName(self._top(batch).drop("rank"))
-        new = self._top(after).persist()
+        spark = batch.sparkSession
+        if self.last is None or self.last >= batch_id:
+            self.last = version_before(spark, self.path, batch_id)
+        before = spark.read.schema(batch.schema).parquet(f"{self.path}/v{self.last}") if self.last is not None else spark.createDataFrame([], batch.schema)
+        new = self._top(before.unionByName(self._top(batch).drop("rank"))).persist()
         try:
             self.sink(diff(self._top(before), new, [*self.keys, "rank"]), batch_id)
-            # k rows a key; with keys, their number bounds the state.
-            self.rows = [tuple(r) for r in new.drop("rank").collect()]
+            new.drop("rank").write.mode("overwrite").parquet(f"{self.path}/v{batch_id}")
+            self.last = batch_id
         finally:
             new.unpersist()
 
@@ -164,7 +165,7 @@ class SortedUpTo:
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         if self.version is None or self.version >= batch_id:
-            self.version = _version(spark, self.path, batch_id)
+            self.version = version_before(spark, self.path, batch_id)
             self.mark = None if self.version is None else spark.read.parquet(f"{self.path}/marks/v{self.version}").head()[0]
         held = batch if self.version is None else batch.unionByName(spark.read.schema(batch.schema).parquet(f"{self.path}/v{self.version}"))
         held = held.where(F.col(self.ms).isNotNull() & (F.lit(True) if self.mark is None else F.col(self.ms) > self.mark)).persist()

@@ -9,13 +9,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.time import micros
 from ..plans.rewrite import EVENT_TIME
 
 
 def event_time(column: str, kind: T.DataType) -> Column:
-    """A TIMESTAMP for Spark's watermark, from a timestamp, a date or epoch milliseconds."""
+    """A TIMESTAMP for Spark's watermark, from a timestamp, a date or epoch milliseconds; one without a zone counts as UTC in every session."""
     if isinstance(kind, (T.LongType, T.IntegerType)):
         return F.timestamp_millis(F.col(column).cast("long"))
+    if isinstance(kind, T.TimestampNTZType):
+        return F.timestamp_micros(micros(column))
     return F.col(column).cast("timestamp")
 
 
@@ -96,25 +99,42 @@ def is_late(watermark: int, window_end: int, lateness: int = 0) -> bool:
 
 
 class LateSplit:
-    """Splits each micro-batch at a watermark that the batch itself has advanced: rows with ms >= watermark go on, others aside.
+    """A foreachBatch function that parts each batch into rows in time and late ones; rows without a time are dropped.
 
-    Use as a foreachBatch function; rows without a time are dropped. The watermark is kept per
-    stream here, and recomputed from the same batches after a restart by passing start."""
+    With end (the end of a row's last window) a row is late if the watermark that the batches
+    before have reached is at or past end + lateness. Without it, the batch advances the watermark
+    first, and rows below it are late. The watermark is kept under path, one version a batch, which
+    a new object reads again; a batch that runs twice is parted in the same way."""
 
-    def __init__(self, ms: str, delay_ms: int, on_time: Callable[[DataFrame, int], None], late: Callable[[DataFrame, int], None] | None = None, start: int | None = None):
-        self.ms, self.mark, self.on_time, self.late = ms, BoundedWatermark(delay_ms, start), on_time, late
+    def __init__(self, ms: Column, delay_ms: int, on_time: Callable[[DataFrame, int], None], late: Callable[[DataFrame, int], None] | None, path: str, end: Column | None = None, lateness_ms: int = 0):
+        self.ms, self.delay, self.on_time, self.late, self.path, self.end, self.lateness = ms, delay_ms, on_time, late, path, end, lateness_ms
+        self.mark = BoundedWatermark(delay_ms)
+        self.version: int | None = None
         self.dropped = 0
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        batch = batch.where(F.col(self.ms).isNotNull()).persist()
+        from .state import version_before
+
+        spark = batch.sparkSession
+        if self.version is None or self.version >= batch_id:
+            self.version = version_before(spark, self.path, batch_id)
+            self.mark = BoundedWatermark(self.delay, None if self.version is None else spark.read.parquet(f"{self.path}/v{self.version}").head()[0])
+        batch = batch.where(self.ms.isNotNull()).persist()
         try:
-            mark = self.mark.observe(batch.agg(F.max(self.ms)).head()[0])
-            good = batch if mark is None else batch.where(F.col(self.ms) >= mark)
-            rest = batch.limit(0) if mark is None else batch.where(F.col(self.ms) < mark)
-            self.on_time(good, batch_id)
+            top, before = batch.agg(F.max(self.ms)).head()[0], self.mark.value
+            now = self.mark.observe(top)
+            if self.end is not None:
+                late = F.lit(before is not None) & (F.lit(before) >= self.end + self.lateness)
+            else:
+                late = F.lit(now is not None) & (self.ms < F.lit(now))
+            late = F.coalesce(late, F.lit(False))
+            rest = batch.where(late)
+            self.on_time(batch.where(~late), batch_id)
             n = rest.count()
             self.dropped += n
             if self.late and n:
                 self.late(rest, batch_id)
+            spark.createDataFrame([(now,)], "mark long").write.mode("overwrite").parquet(f"{self.path}/v{batch_id}")
+            self.version = batch_id
         finally:
             batch.unpersist()
