@@ -5,7 +5,7 @@ from pathlib import Path
 
 import pytest
 
-from tidewell import suite
+from tidewell import suite, suite_engine
 
 DATA = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables")
@@ -26,10 +26,14 @@ def cells(df):
     return sorted(map(tuple, x.map(lambda v: repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)[:10] if hasattr(v, "year") else str(v)).to_numpy().tolist()))
 
 
-@pytest.mark.parametrize("name", sorted(suite.queries()))
+QUERIES = suite.queries() | suite_engine.queries()
+ORACLE = suite.oracle_sql() | suite_engine.oracle_sql()
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    got = suite.queries()[name](spark, str(DATA)).toPandas()
-    sql = suite.oracle_sql().get(name)
+    got = QUERIES[name](spark, str(DATA)).toPandas()
+    sql = ORACLE.get(name)
     if sql is None:
         assert len(got)
         return
