@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_maxscore": maxscore.ORACLE, "op7_mixing": mixing.ORACLE}
+    return {"op3_maxscore": maxscore.ORACLE, "op7_mixing": mixing.ORACLE, "op9_sharding": sharding.ORACLE}
