@@ -11,16 +11,17 @@ a draw from the md5 of the seed and its id lies below the fraction, so reruns an
 partitioning agree and the expected words of a source are its target.
 
 Defined cases: null and empty texts have size 0 and are drawn like others; a null source is a
-source; a null id draws as the text "null"; repeated rows draw alike; an empty table gives none;
-further columns are carried by copies() and ignored by plan().
+source; a null id draws as the text "null"; very long texts count whole; repeated rows draw alike;
+an empty table gives none; further columns are carried by copies() and ignored by plan(), whatever
+their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, maybe_broadcast, table
+from .common import WORD, cut, fresh, maybe_broadcast, table
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -65,30 +66,27 @@ def n_copies(rate, doc_id: str = "doc_id", seed: str = SEED):
     return (F.floor(rate) + F.when(drawn < rate - F.floor(rate), 1).otherwise(0)).cast("long")
 
 
-def rate():
-    return F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-
-
-def _joined(left: DataFrame, sized: DataFrame) -> DataFrame:
-    """left with its source's size and target; a source that is null matches itself."""
+def _rated(left: DataFrame, sized: DataFrame) -> tuple[DataFrame, list[str], Column]:
+    """left with its source's size and target, their names, and the rate; a source that is null matches itself."""
+    k, s, t = fresh(left, "the_key", "the_size", "the_target")
     key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-"))
-    t = cut(targets(sized).select(key.alias("__k"), F.col("source_size").alias("__ss"), F.col("target").alias("__t")))
-    return left.withColumn("__k", key).join(maybe_broadcast(t), "__k", "left")
+    of = cut(targets(sized).select(key.alias(k), F.col("source_size").alias(s), F.col("target").alias(t)))
+    rate = F.when(F.col(s) > 0, F.col(t) / F.col(s)).otherwise(F.lit(0.0))
+    return left.withColumn(k, key).join(maybe_broadcast(of), k, "left"), [s, t], rate
 
 
 def plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """doc_id, size, source_size, target and taken of every document."""
     sized = cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(text).alias("size")))
-    out = _joined(sized, sized).select("doc_id", "size", F.col("__ss").alias("source_size"), F.col("__t").alias("target"))
-    return out.withColumn("taken", F.col("size") * n_copies(rate()))
+    rows, (s, t), rate = _rated(sized, sized)
+    return rows.select("doc_id", "size", F.col(s).alias("source_size"), F.col(t).alias("target"), (F.col("size") * n_copies(rate)).alias("taken"))
 
 
 def copies(docs: DataFrame) -> DataFrame:
     """The mixed corpus: each row of docs as often as the mix takes it, with the columns of docs."""
     sized = cut(docs.select("source", n_words().alias("size")).groupBy("source").agg(F.sum("size").alias("size")))
-    rows = _joined(docs, sized)
-    r = F.when(F.col("__ss") > 0, F.col("__t") / F.col("__ss")).otherwise(F.lit(0.0))
-    return rows.withColumn("__n", F.explode(F.array_repeat(F.lit(1), n_copies(r).cast("int")))).select(*docs.columns)
+    rows, _, rate = _rated(docs, sized)
+    return rows.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), n_copies(rate).cast("int"))).alias(fresh(docs, "the_copy")[0])).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
