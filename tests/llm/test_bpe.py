@@ -52,6 +52,14 @@ def test_frames(make, corpus, pair):
         ids = theirs.encode_ordinary(t or "")
         want.append((str(i), len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert got == sorted(want)
-    back = bpe.decode(bpe.encode(docs)).collect()
-    assert sorted((str(r.doc_id), r.text) for r in back) == sorted((str(i), t or "") for i, t, _ in corpus)
+    # The table has a column ids of its own, which stays.
+    found = bpe.encode(docs)
+    assert found.columns == [*(c for c in docs.columns if c != "text"), "_ids"]
+    back = bpe.decode(found, ids="_ids").collect()
+    assert sorted((str(r.doc_id), r.text, r.ids) for r in back) == sorted((str(i), t or "", "x") for i, t, _ in corpus)
+    whole = bpe.encoded(docs)
+    assert whole.columns == [*(c for c in docs.columns if c != "text"), "_n_tokens", "_ids", "_decoded_sha256"]
+    assert {r.n_tokens for r in whole.collect()} == {"x"}
+    plain = bpe.decode(bpe.encode(make(corpus))).collect()
+    assert sorted((str(r.doc_id), r.text) for r in plain) == sorted((str(i), t or "") for i, t, _ in corpus)
     assert bpe.digests(make([])).count() == 0

@@ -10,7 +10,8 @@ token is that token.
 
 Defined cases: null text counts as empty and gives no tokens; texts of any length are encoded
 whole, special tokens' strings as ordinary text; repeated rows give repeated results; an empty
-table gives none. Memory: the words kept from earlier texts are dropped beyond KEPT_WORDS (about
+table gives none; encode(), decode() and encoded() carry all other columns, and give their own
+another name, with underscores before it, where a column of the table has it. Memory: the words kept from earlier texts are dropped beyond KEPT_WORDS (about
 110 MB), and texts are taken in slices, so a task holds one slice and that many words.
 """
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import table, tokenizer_path
+from .common import fresh, table, tokenizer_path
 from .textops import frugal, slices
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -178,10 +179,16 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def _named(docs: DataFrame, taken: str, *new: str) -> tuple[list[T.StructField], list[str]]:
+    """The fields of docs but the one taken, and names for new ones that none of them has."""
+    rest = docs.drop(taken)
+    return rest.schema.fields, fresh(rest, *new)
+
+
 def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with the token ids of each text in place of the text."""
     path = path or tokenizer_path(RANKS)
-    fields = [f for f in docs.schema.fields if f.name not in (text, ids)]
+    fields, (ids,) = _named(docs, text, ids)
     schema = T.StructType([*fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
     names = [f.name for f in fields]
 
@@ -190,7 +197,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: st
         for batch in batches:
             for part in slices(batch, text, CORPUS_BYTES):
                 found = pa.array(c.encode(part.column(text).to_pylist()), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), found], [*names, ids])
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), found], schema.names)
 
     return docs.mapInArrow(frugal(run), schema)
 
@@ -198,7 +205,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: st
 def decode(docs: DataFrame, path: str | None = None, ids: str = "ids", text: str = "text") -> DataFrame:
     """docs with the UTF-8 text of each list of ids in place of the ids (bytes that are no UTF-8 are replaced)."""
     path = path or tokenizer_path(RANKS)
-    fields = [f for f in docs.schema.fields if f.name not in (text, ids)]
+    fields, (text,) = _named(docs, ids, text)
     schema = T.StructType([*fields, T.StructField(text, T.StringType())])
     names = [f.name for f in fields]
 
@@ -206,7 +213,7 @@ def decode(docs: DataFrame, path: str | None = None, ids: str = "ids", text: str
         c = codec(path)
         for part in batches:
             found = pa.array([c.decode(x or []).decode("utf-8", "replace") for x in part.column(ids).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), found], [*names, text])
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), found], schema.names)
 
     return docs.mapInArrow(frugal(run), schema)
 
@@ -233,8 +240,9 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     """docs with n_tokens, ids and the hash of the bytes that the ids decode to in place of the text."""
     path = path or tokenizer_path(RANKS)
-    fields = [f for f in docs.schema.fields if f.name not in ("text", "n_tokens", "ids", "decoded_sha256")]
-    schema = T.StructType([*fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded_sha256", T.StringType())])
+    fields, new = _named(docs, "text", "n_tokens", "ids", "decoded_sha256")
+    kinds = (T.LongType(), T.ArrayType(T.IntegerType()), T.StringType())
+    schema = T.StructType([*fields, *(T.StructField(n, k) for n, k in zip(new, kinds, strict=True))])
     names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
