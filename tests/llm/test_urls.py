@@ -1,4 +1,7 @@
 import math
+import random
+import re
+from collections import Counter
 
 import pytest
 
@@ -79,3 +82,65 @@ def test_rare_words_count(spark):
     model = urls.train(p, words)
     assert {r.t: (r.a, r.b) for r in model.tokens.where("t in ('h:glimmer', 'h:quorn')").collect()} == {"h:glimmer": (0, 4), "h:quorn": (0, 2)}
     assert {r.page_id: r.verdict for r in urls.judge(p, words, model).collect()}[9] == "block"
+
+
+def plain_verdicts(rows):
+    """Word counts, Viterbi, token counts and Bayes over all pages, in dictionaries. rows: (url, html)."""
+    count = Counter()
+    for _, html in rows:
+        count.update(urls._WORD.findall(re.sub(r"<[^>]*>", " ", html or "").lower()))
+    total, least = sum(count.values()) or 1, min(count.values(), default=1)
+    cut = urls.Segmenter({w: math.log(n / total) for w, n in count.items()}, math.log(least / total))
+
+    def split(url):
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host) :])[0]
+        return host.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")), path
+
+    def rule(host, path):
+        fits = [r for r in urls.RULES if (host == r[1] or host.endswith("." + r[1])) and path.startswith(r[2])]
+        return max(fits, key=lambda r: len(r[1] + r[2]))[0] if fits else None
+
+    def tokens(host, path):
+        out = []
+        for t in urls.pieces(host, path):
+            out += ["h:" + w for w in cut.split(t[2:])] if t[0] == "n" else [t]
+        return out
+
+    seen, n_urls = {"allow": Counter(), "block": Counter()}, Counter()
+    for url, _ in rows:
+        host, path = split(url)
+        if (v := rule(host, path)) is not None:
+            seen[v].update(tokens(host, path))
+            n_urls[v] += 1
+    known = set(seen["allow"]) | set(seen["block"])
+    n, na, nb = len(known) + 1, sum(seen["allow"].values()), sum(seen["block"].values())
+    out = []
+    for url, _ in rows:
+        host, path = split(url)
+        v = rule(host, path)
+        if v is None:
+            odds = math.log((n_urls["block"] + 1) / (n_urls["allow"] + 1)) if n_urls else -1.0
+            for t in tokens(host, path):
+                if t in known:
+                    odds += math.log((seen["block"][t] + 1) / (nb + n)) - math.log((seen["allow"][t] + 1) / (na + n))
+            v = "block" if odds > 0 else "allow"
+        out.append((host, path, v))
+    return out
+
+
+def test_verdicts_as_plain_loops(spark):
+    """Also null and repeated rows, null and empty pages, very long urls and hosts, and clashing columns."""
+    rng = random.Random(7)
+    words = ["shop", "good", "news", "cheap", "play", "read", "more", "win"]
+    html = lambda: "<p>" + " ".join(rng.choice(words) for _ in range(30)) + "</p>"
+    host = lambda: "".join(rng.choice(words) for _ in range(rng.randint(1, 3)))
+    rows = [(f"http://{host()}.example.{rng.choice(['com', 'net', 'org', 'dev'])}/{rng.choice(['en', 'de', 'es', 'fr'])}/{rng.choice(words)}{rng.randint(1, 9)}", html()) for _ in range(150)]
+    rows += [(None, None), ("", ""), ("http://x", None), ("http://" + "good" * 60 + ".dev/" + "win/" * 3000, html()), ("http://É中.dev/Ä", "<b>"), rows[0], rows[0], (rows[1][0], None)]
+    p = spark.createDataFrame([(i, u, h, "x", "y", "z") for i, (u, h) in enumerate(rows)], "page_id long, url string, html string, host string, verdict string, t string")
+    words_ = urls.lexicon(p)
+    got = {r.page_id: (r.host, r.path, r.verdict) for r in urls.judge(p, words_, urls.train(p, words_)).collect()}
+    want = plain_verdicts(rows)
+    assert [got[i] for i in range(len(rows))] == want
+    assert {v for _, _, v in want} == {"allow", "block"}
