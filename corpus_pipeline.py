@@ -2,7 +2,8 @@
 
 Each stage gets what the one before kept and returns the columns of documents; the last returns
 the encoded corpus: doc_id, lang, source, n_chars, n_tokens and ids, and the hash of what the ids
-decode to. Between stages rows are written as Parquet in the shared folder and read again.
+decode to. Between stages rows are written as Parquet in the shared folder and read again; each
+stage's files go once the next one has been written, the last one's stay.
 
 1. quality: rejected documents go.
 2. near duplicates: one document of each component stays.
@@ -11,8 +12,9 @@ decode to. Between stages rows are written as Parquet in the shared folder and r
 4. mixing: each document comes as often as its source's rate says.
 5. encoding: token ids of each text.
 
-Nulls in any column, empty and long texts, repeated rows and further columns pass as the
-operators define; an empty table gives an empty result.
+Nulls in any column, empty and long texts and further columns, whatever their names, pass as the
+operators define; of repeated rows (one id and text) one stays; repeated and contradictory labels
+count as `quality` says; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm import bpe, minhash, mixing, quality, substrings
-from tidewell.llm.common import release, shared_dir, ship, table
+from tidewell.llm.common import delete, release, shared_dir, ship, table
 
 
 def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,9 +69,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents, one after another."""
     docs = table(spark, sf_dir, "documents")
-    top = f"{shared_dir(spark)}/pipeline-{uuid.uuid4()}"
+    top, before = f"{shared_dir(spark)}/pipeline-{uuid.uuid4()}", None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{top}/{name}")
         docs = spark.read.parquet(f"{top}/{name}")
+        if before:
+            delete(spark, before)
+        before = f"{top}/{name}"
         release(spark)
     return docs
