@@ -18,7 +18,8 @@ def _right_names(left: DataFrame, right: DataFrame, keys: list[str], prefix: str
 def interval_join(left: DataFrame, right: DataFrame, keys: list[str], left_ms: str, right_ms: str, before: int, after: int | None = None, how: str = "inner", prefix: str = "right_", buckets: bool = False) -> DataFrame:
     """Rows with equal keys and left_ms - before <= right_ms <= left_ms + after (after = before by default, both inclusive).
 
-    With buckets (inner joins), time buckets of the bound join the keys, so one hot key spreads over tasks."""
+    With buckets (inner and left joins), time buckets of the bound join the keys, so one hot key
+    spreads over tasks; a left join adds the rows that have met nothing in any of their buckets."""
     after = before if after is None else after
     names = _right_names(left, right, keys, prefix)
     r = right.withColumnsRenamed(names).withColumnsRenamed({k: f"__r_{k}" for k in keys})
@@ -27,6 +28,12 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], left_ms: s
     on = near
     for k in keys:
         on = on & (F.col(k) == F.col(f"__r_{k}"))
+    if buckets and how == "left":
+        # A row meets the right side in several buckets; the one it lies in keeps it if none of them gives a match.
+        row = F.struct(*(F.col(c) for c in left.columns))
+        inner = interval_join(left.withColumn("__row", F.md5(F.to_json(row))), right, keys, left_ms, right_ms, before, after, "inner", prefix, True)
+        rest = left.withColumn("__row", F.md5(F.to_json(row))).join(inner.select("__row").distinct(), "__row", "left_anti").drop("__row")
+        return inner.drop("__row").unionByName(rest, allowMissingColumns=True)
     if buckets and how == "inner":
         width = max(1, before + after)
         lo, hi = F.floor((F.col(left_ms) - before) / width), F.floor((F.col(left_ms) + after) / width)
@@ -40,12 +47,14 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], left_ms: s
     return out.drop("__b", "__rb", *(f"__r_{k}" for k in keys))
 
 
-def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_ms: str, right_ms: str, direction: str = "backward", tolerance: int | None = None, how: str = "left", left_order: str | None = None, right_order: str | None = None, suffix: str = "_right") -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_ms: str, right_ms: str, direction: str = "backward", tolerance: int | None = None, how: str = "left", left_order: str | None = None, right_order: str | None = None, suffix: str = "_right", bucket_ms: int | None = None) -> DataFrame:
     """Each left row with the right row of its key that is nearest in time.
 
     backward: the latest at or before, of equal times the last (by right_order); forward: the
     earliest at or after, of equal times the first; nearest: the nearer of both, backward on a tie.
-    A distance above the tolerance is no match. One sort of both sides by key and time."""
+    A distance above the tolerance is no match. One sort of both sides by key and time; with
+    bucket_ms, by key and time bucket, so that a hot key spreads over tasks: what a bucket takes over
+    from the buckets before and after comes from a table of one row a bucket."""
     if direction not in ("backward", "forward", "nearest"):
         raise ValueError(f"direction: {direction}")
     cols = [c for c in right.columns if c not in keys]
@@ -60,14 +69,36 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_ms: str,
         right.where(F.col(right_ms).isNotNull()).select(*kcols, F.col(right_ms).cast("long"), F.lit(0), seq_r, none_l, rid)
     )
     ks = [f"__k{i}" for i in range(len(keys))]
+    part = ks
+    if bucket_ms is not None:
+        both, part = both.withColumn("__bucket", F.floor(F.col("__t") / bucket_ms)), [*ks, "__bucket"]
     # Backward, right rows sort before left ones of the same time; forward, the whole order is reversed and they do again.
-    back = Window.partitionBy(*ks).orderBy("__t", "__side", "__seq").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*ks).orderBy(F.col("__t").desc(), "__side", F.col("__seq").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy(*part).orderBy("__t", "__side", "__seq").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*part).orderBy(F.col("__t").desc(), "__side", F.col("__seq").desc()).rowsBetween(Window.unboundedPreceding, 0)
     out = both
+    if bucket_ms is not None:
+        along = Window.partitionBy(*ks).orderBy("__bucket")
+        at = F.struct("__t", "__seq")
+        theirs = F.when(F.col("__side") == 0, F.col("__r"))
+        carried = both.groupBy(*part).agg(
+            F.max_by(theirs, F.when(F.col("__side") == 0, at)).alias("__late"), F.min_by(theirs, F.when(F.col("__side") == 0, at)).alias("__early")
+        ).select(
+            *(F.col(c).alias(f"__c{c}") for c in part),
+            F.last("__late", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("__cb"),
+            F.first("__early", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("__cf"),
+        )
+        on = F.lit(True)
+        for c in part:
+            on = on & F.col(c).eqNullSafe(F.col(f"__c{c}"))
+        out = both.join(carried, on).drop(*(f"__c{c}" for c in part))
     if direction in ("backward", "nearest"):
         out = out.withColumn("__b", F.last("__r", ignorenulls=True).over(back))
     if direction in ("forward", "nearest"):
         out = out.withColumn("__f", F.last("__r", ignorenulls=True).over(ahead))
+    if bucket_ms is not None:
+        for name, other in (("__b", "__cb"), ("__f", "__cf")):
+            if name in out.columns:
+                out = out.withColumn(name, F.coalesce(name, other))
     keyed = F.lit(True)
     for k in ks:
         keyed = keyed & F.col(k).isNotNull()

@@ -98,6 +98,12 @@ def session_basic(spark, d):
     return windows.session_agg(events(spark, d), ["user_id"], "ms", HOUR, F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
+@query(EV + _SESSIONS.format(gap=HOUR).replace("PARTITION BY user_id ", "PARTITION BY event_type ").replace("SELECT user_id,", "SELECT event_type,").replace("GROUP BY user_id, s", "GROUP BY event_type, s"))
+def session_hot_keys(spark, d):
+    """Five keys hold all rows; time buckets spread them."""
+    return windows.session_agg(events(spark, d), ["event_type"], "ms", HOUR, F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), bucket_ms=DAY)
+
+
 @query("WITH v AS (SELECT unnest([0, 10000, 20000, 29999, 40000]) AS ms), g AS (SELECT ms, CASE WHEN ms - lag(ms) OVER (ORDER BY ms) < 10000 THEN 0 ELSE 1 END AS n FROM v), s AS (SELECT ms, sum(n) OVER (ORDER BY ms) AS k FROM g) SELECT CAST(min(ms) AS BIGINT) AS session_start, CAST(max(ms) + 10000 AS BIGINT) AS session_end, count(*) AS n FROM s GROUP BY k")
 def session_boundary(spark, d):
     v = spark.createDataFrame([(1, x) for x in (0, 10000, 20000, 29999, 40000)], "k int, ms long")
@@ -188,7 +194,7 @@ def _sides(spark, d):
 def _interval(how: str, name: str) -> None:
     def run(spark, d):
         left, right = _sides(spark, d)
-        return joins.interval_join(left, right, ["user_id"], "ms", "r_ms", 2 * HOUR, how=how, buckets=how == "inner").select("event_id", "r_id", "value", "r_value")
+        return joins.interval_join(left, right, ["user_id"], "ms", "r_ms", 2 * HOUR, how=how, buckets=how in ("inner", "left")).select("event_id", "r_id", "value", "r_value")
 
     _QUERIES[name] = run
     _ORACLE[name] = _PAIR + f"SELECT event_id, r_id, value, r_value FROM l {how.upper()} JOIN r ON user_id = r_user AND r_ms BETWEEN ms - {2 * HOUR} AND ms + {2 * HOUR}"
@@ -220,6 +226,10 @@ _asof(
 )
 
 
+for _d in ("backward", "forward", "nearest"):  # time buckets spread hot keys
+    _asof(f"asof_{_d}_hot_keys", _ORACLE[f"asof_{_d}"].removeprefix(_PAIR), direction=_d, bucket_ms=DAY)
+
+
 @query(_PAIR + "SELECT event_id, value, r_value AS rate FROM l ASOF JOIN r ON user_id = r_user AND ms >= r_ms")
 def temporal_event_time(spark, d):
     left, right = _sides(spark, d)
