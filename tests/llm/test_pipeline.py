@@ -11,12 +11,13 @@ def test_against_brute_force(spark, make, corpus, tmp_path, monkeypatch):
     docs = make(corpus)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     known = [(i, int(i % 5 != 0), 0) for i, _, _ in corpus if i is not None]
+    known += [*known[:9], (3, 0, 0), (12, None, None), (None, 1, 0)]  # repeated, contradictory, null
     spark.createDataFrame(known, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     good = quality.score(docs, quality.train(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))).collect()
     keep = {r.doc_id for r in good if r.predicted}
     rows = [r for r in corpus if r[0] in keep]
     kept = {i for i, _, _, k in test_minhash.brute(rows) if k}
-    rows = [r for r in rows if str(r[0]) in kept]
+    rows = [r for n, r in enumerate(rows) if str(r[0]) in kept and (r[0] is None or r not in rows[:n])]  # repeated rows stay once
     last = (1 << 63) - 1
     seen = {}
     for i, t, _ in rows:

@@ -6,10 +6,15 @@ mixed case, digits, the punctuation itself, and whether the word before is the s
 feature's value is the root of its share of the text, so texts of any length compare. Training
 is FTRL-proximal, one text at a time; the weights are sparse and a score is a sparse dot product.
 
-The fit sees at most PER_CLASS texts of each class, chosen by a hash of the id and weighted
-back to the classes' shares among all labelled rows outside the held-out fold.
-Defined cases: null and empty texts score by the bias alone; a null id is in fold 0; repeated
-rows score alike; with no labels every score is 0.5 or, with one class, that class's.
+The fit, in one task, sees at most PER_CLASS texts of each class, chosen by a hash of the id and
+weighted back to the classes' shares among all labelled rows outside the held-out fold; of very
+long ones as many as training.ENTRIES features allow.
+Defined cases: null and empty texts score by the bias alone; texts of any length are scored whole;
+a null id is in fold 0; repeated rows score alike; an id labelled with both classes is learnt
+once in each, and labels repeated within a class count once; other labels than 0 and 1 (null
+among them) and labels without a document are left out; with no labels every score is 0.5 or,
+with one class, that class's; ties with the threshold are predicted 1; an empty table gives none;
+other columns are carried by keep() and ignored by score(), whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .textops import SPACES, distinct_per_doc, frugal, shingles, slices, span_hashes, utf8
-from .training import first_ids, learnable, parts, scored, sigmoid, texts_of
+from .training import first_ids, fitted, learnable, scored, sigmoid
 
 BITS = 20
 PER_CLASS = 2500
@@ -82,46 +87,47 @@ def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return x, d, np.sqrt(n / total[d])
 
 
-def fit(texts: list[str], good: np.ndarray, weight: np.ndarray, epochs: int = 3, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1) -> tuple[np.ndarray, float]:
-    """Weights by bucket and the bias, after a fixed order of texts."""
+def learn(fs: list[np.ndarray], vs: list[np.ndarray], good: np.ndarray, weight: np.ndarray, epochs: int = 3, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1) -> np.ndarray:
+    """Weights by bucket, the bias last, after a fixed order of texts with features fs of the values vs."""
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
-    found = [(f.astype(np.int32), d + i, v.astype(np.float32)) for i, own in parts(texts) for f, d, v in [features(*own)]]
-    f, d, v = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.float32))
-    del found
-    bounds = np.searchsorted(d, np.arange(len(texts) + 1))
 
     def lazy(i):
         return np.where(np.abs(z[i]) <= l1, 0.0, -(z[i] - np.sign(z[i]) * l1) / ((beta + np.sqrt(n[i])) / alpha + l2))
 
     rng = np.random.default_rng(3)
     for _ in range(epochs):
-        for t in rng.permutation(len(texts)).tolist():
-            i = np.append(f[bounds[t] : bounds[t + 1]], 1 << BITS)
-            x = np.append(v[bounds[t] : bounds[t + 1]], 1.0)
+        for t in rng.permutation(len(fs)).tolist():
+            i = np.append(fs[t].astype(np.int64), 1 << BITS)
+            x = np.append(vs[t].astype(np.float64), 1.0)
             w = lazy(i)
             g = (sigmoid(w @ x) - good[t]) * weight[t] * x
             root = np.sqrt(n[i])
             n[i] += g * g
             z[i] += g - (np.sqrt(n[i]) - root) / alpha * w
-    w = lazy(np.arange((1 << BITS) + 1))
-    return w[:-1], float(w[-1])
+    return lazy(np.arange((1 << BITS) + 1))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     known = learnable(labels).where("quality in (0, 1)")
     count = {r.quality: r.n for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
-    texts, good, weight = [], [], []
-    for q in (0, 1):
-        own = texts_of(docs, first_ids(known.where(F.col("quality") == q), PER_CLASS, 21 + q))
-        texts += own
-        good += [float(q)] * len(own)
-        weight += [count.get(q, 0) / max(1, len(own))] * len(own)
-    scale = np.mean(weight) if weight else 1.0
-    return fit(texts, np.array(good), np.array(weight) / scale)
+    chosen = [first_ids(known.where(F.col("quality") == q), PER_CLASS, 21 + q).select("doc_id", F.lit(q).alias("y"), "h") for q in (0, 1)]
+
+    def fit(y, fs, vs):
+        taken = np.bincount(y, minlength=2)
+        weight = np.array([count.get(k, 0) / taken[k] for k in y.tolist()])
+        w = learn(fs, vs, y.astype(np.float64), weight / weight.mean())
+        on = np.flatnonzero(w)
+        return [on.astype(np.int32), w[on].astype(np.float32)]
+
+    model = fitted(docs, chosen[0].unionAll(chosen[1]), features, fit, values=True)
+    w = np.zeros((1 << BITS) + 1, np.float32)
+    if model:
+        w[model[0]] = model[1]
+    return w[:-1], float(w[-1])
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast((model[0].astype(np.float32), model[1]))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def one(data, offs):
         weights, bias = shared.value
@@ -133,7 +139,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
 
 def keep(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs whose text scores threshold or more, with all their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast((model[0].astype(np.float32), model[1]))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 
     def run(batches):
