@@ -3,6 +3,7 @@ import time
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewell.sources import connectors, formats
 from tidewell.streaming import state
@@ -161,3 +162,75 @@ def test_lag_lead_at_the_end_of_time(spark, tmp_path):
     run(spark, f"{tmp_path}/in", "k string, t long, v double", lambda b, i: out.extend((r.k, r.t, r.lag, r.lead, r["at"].microsecond) for r in b.collect()), f"{tmp_path}/c", lag_lead)
     # c waits: the watermark stands at 51.
     assert sorted(out) == [("a", 1, -1.0, 30.0, 1000), ("a", 2, 10.0, -1.0, 2000), ("a", 3, 20.0, -1.0, 3000), ("b", 3, -1.0, -1.0, 3000)]
+
+
+def test_schema_registry():
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    calls, known = [], {1: '"string"'}
+
+    class Registry(BaseHTTPRequestHandler):
+        def answer(self, body, code=200):
+            self.send_response(code)
+            self.end_headers()
+            self.wfile.write(json.dumps(body).encode())
+
+        def do_GET(self):
+            calls.append(self.path)
+            if self.path == "/subjects/s/versions/latest":
+                self.answer({"id": max(known), "schema": known[max(known)]})
+            elif (n := int(self.path.rsplit("/", 1)[1])) in known:
+                self.answer({"schema": known[n]})
+            else:
+                self.answer({}, 404)
+
+        def do_POST(self):
+            schema = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["schema"]
+            if self.path.startswith("/compat"):
+                self.answer({"is_compatible": schema != '"int"'})
+            else:
+                known[len(known) + 1] = schema
+                self.answer({"id": len(known)})
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Registry)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        r = connectors.SchemaRegistry(f"http://127.0.0.1:{server.server_port}/")
+        assert r.schema(1) == r.schema(1) == '"string"' and calls == ["/schemas/ids/1"]
+        assert r.register("s", '"long"') == 2 and r.latest("s") == (2, '"long"')
+        assert r.compatible("s", '"long"') and not r.compatible("s", '"int"')
+        with pytest.raises(connectors.ConnectorError):
+            r.schema(9)
+    finally:
+        server.shutdown()
+
+
+def test_compatibility_levels():
+    def of(text):
+        return T.StructType([T.StructField(x.rstrip("?"), T.LongType(), x.endswith("?")) for x in text.split()])
+
+    one, two, three = of("a"), of("a b?"), of("a b? c")
+    assert connectors.compatible(one, two, "BACKWARD") and connectors.compatible(one, two, "FULL") and not connectors.compatible(two, three, "BACKWARD")
+    last = of("b?")
+    assert connectors.compatible_with_all([of("a?"), of("")], last, "BACKWARD_TRANSITIVE")
+    assert connectors.compatible_with_all([of("b c"), of("b?")], of("b?"), "FORWARD") and not connectors.compatible_with_all([of("b c"), of("b?")], of("b?"), "FORWARD_TRANSITIVE")
+    with pytest.raises(connectors.ConnectorError):
+        connectors.compatible(one, two, "SOMETIMES")
+
+
+def test_kafka_partitioners(spark):
+    df = spark.range(40).selectExpr("id", "id % 3 AS k").repartition(4)
+    rows = connectors.kafka_rows(df, {"key.column": "k"}, "json").collect()
+    assert sorted(r.key for r in rows) == sorted(str(i % 3) for i in range(40)) and '{"id":7,"k":1}' in {r.value for r in rows}
+    spread = connectors.kafka_rows(df, {"partitioner": "round-robin", "partitions": "5"}, "csv").groupBy("partition").count().collect()
+    assert {r.partition for r in spread} == set(range(5)) and all(4 <= r["count"] <= 12 for r in spread)
+    sticky = connectors.kafka_rows(df, {"partitioner": "sticky", "partitions": "5"}, "json", 3)
+    assert max(r.n for r in sticky.withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.count_distinct("partition").alias("n")).collect()) == 1
+    for wrong in ({"partitioner": "odd"}, {"partitioner": "sticky"}, {"key.column": "z"}):
+        with pytest.raises(connectors.ConnectorError):
+            connectors.kafka_rows(df, wrong, "json")

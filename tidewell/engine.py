@@ -545,9 +545,7 @@ class Engine:
         elif s.connector == "files":
             connectors.write_files(batch, s.options | ({"format": s.format} if s.format else {}), batch_id)
         elif s.connector == "kafka":
-            from .sources.formats import encode
-
-            encode(batch, s.format or "json").write.format("kafka").options(**connectors.kafka_sink(s.options)).save()
+            connectors.kafka_rows(batch, s.options, s.format or "json", batch_id).write.format("kafka").options(**connectors.kafka_sink(s.options)).save()
         elif s.connector in self.connectors:
             self.connectors[s.connector][1](batch, s.options, batch_id)
         elif s.connector in ("postgres", "database"):

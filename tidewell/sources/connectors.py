@@ -8,6 +8,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 FILE_FORMATS = ("parquet", "orc", "csv", "json", "text")
@@ -104,11 +105,44 @@ def kafka_sink(options: dict[str, str]) -> dict[str, str]:
     return out
 
 
+def kafka_rows(df: DataFrame, options: dict[str, str], fmt: str, batch_id: int = 0) -> DataFrame:
+    """key, value and (unless the producer is to choose by the key) partition of each row's record.
+
+    partitioner: key-hash (default; the producer hashes the key, and without one spreads records),
+    round-robin (rows of a task go to one partition after another) or sticky (a task's rows of a
+    batch go to one); the last two need partitions, the topic's number of them."""
+    from .formats import encode
+
+    how = options.get("partitioner", "key-hash").lower()
+    if how not in ("key-hash", "round-robin", "sticky"):
+        raise ConnectorError(f"unknown partitioner: {how}")
+    key = options.get("key.column")
+    if key and key not in df.columns:
+        raise ConnectorError(f"no such key.column: {key}")
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    keys = F.col(f"`{key}`").cast("string") if key else F.lit(None).cast("string")
+    if fmt == "avro":
+        if key or how != "key-hash":
+            raise ConnectorError("Avro records go without key and partition")
+        return encode(df, fmt)
+    value = F.to_json(row, {"ignoreNullFields": "false"}) if fmt == "json" else F.to_csv(row)
+    if how == "key-hash":
+        return df.select(keys.alias("key"), value.alias("value"))
+    need(options, "partitions")
+    n = int(options["partitions"])
+    task = F.shiftright(F.monotonically_increasing_id(), 33)
+    at = F.monotonically_increasing_id() - F.shiftleft(task, 33)
+    part = F.pmod(at + task if how == "round-robin" else F.xxhash64(F.lit(batch_id), task), F.lit(n))
+    return df.select(keys.alias("key"), value.alias("value"), part.cast("int").alias("partition"))
+
+
 COMPATIBILITY = ("NONE", "BACKWARD", "BACKWARD_TRANSITIVE", "FORWARD", "FORWARD_TRANSITIVE", "FULL", "FULL_TRANSITIVE")
 
 
 def compatible(old: T.StructType, new: T.StructType, level: str) -> bool:
     """Whether a schema may follow another: backward, the new reads old rows; forward, the old reads new ones."""
+    if level.upper() not in COMPATIBILITY:
+        raise ConnectorError(f"unknown compatibility: {level}")
     level = level.upper().removesuffix("_TRANSITIVE")
 
     def reads(reader: T.StructType, writer: T.StructType) -> bool:
@@ -118,6 +152,50 @@ def compatible(old: T.StructType, new: T.StructType, level: str) -> bool:
     return level == "NONE" or all(reads(*p) for p in {"BACKWARD": [(new, old)], "FORWARD": [(old, new)], "FULL": [(new, old), (old, new)]}[level])
 
 
+def compatible_with_all(versions: list[T.StructType], new: T.StructType, level: str) -> bool:
+    """Whether a schema may be the next version: a transitive level looks at all before, another at the last."""
+    return all(compatible(old, new, level) for old in (versions if level.upper().endswith("_TRANSITIVE") else versions[-1:]))
+
+
+class SchemaRegistry:
+    """A registry's HTTP interface, from the driver; schemas are kept by their number, which never changes its meaning."""
+
+    def __init__(self, url: str, timeout_s: float = 10.0, headers: dict[str, str] | None = None):
+        self.url, self.timeout, self.headers = url.rstrip("/"), timeout_s, headers or {}
+        self.kept: dict[int, str] = {}
+
+    def _call(self, path: str, body: dict | None = None) -> dict:
+        import json
+        import urllib.error
+        import urllib.request
+
+        data = None if body is None else json.dumps(body).encode()
+        request = urllib.request.Request(self.url + path, data, {"Content-Type": "application/vnd.schemaregistry.v1+json", **self.headers})  # noqa: S310
+        try:
+            with urllib.request.urlopen(request, timeout=self.timeout) as answer:  # noqa: S310
+                return json.loads(answer.read())
+        except urllib.error.HTTPError as e:
+            raise ConnectorError(f"schema registry: {e.code} for {path}") from e
+
+    def schema(self, number: int) -> str:
+        if number not in self.kept:
+            self.kept[number] = self._call(f"/schemas/ids/{number}")["schema"]
+        return self.kept[number]
+
+    def latest(self, subject: str) -> tuple[int, str]:
+        found = self._call(f"/subjects/{subject}/versions/latest")
+        self.kept[found["id"]] = found["schema"]
+        return found["id"], found["schema"]
+
+    def register(self, subject: str, schema: str) -> int:
+        number = self._call(f"/subjects/{subject}/versions", {"schema": schema})["id"]
+        self.kept[number] = schema
+        return number
+
+    def compatible(self, subject: str, schema: str) -> bool:
+        return self._call(f"/compatibility/subjects/{subject}/versions/latest", {"schema": schema})["is_compatible"]
+
+
 # --- databases and lake tables -----------------------------------------------------------------
 
 

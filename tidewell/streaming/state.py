@@ -183,13 +183,15 @@ class SortedUpTo:
 
 
 class KeyedWatermark(StatefulProcessor):
-    """Passes the rows of each key that are not below the key's own watermark, and drops the rest."""
+    """Passes the rows of each key that are not below the key's own watermark, and drops the rest.
 
-    def __init__(self, ms: str, delay_ms: int):
-        self.ms, self.delay = ms, delay_ms
+    With idle_ms, a key that has had no rows for so long, by the clock, is forgotten, and its next row begins anew."""
+
+    def __init__(self, ms: str, delay_ms: int, idle_ms: int | None = None):
+        self.ms, self.delay, self.idle = ms, delay_ms, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.mark = handle.getValueState("mark", T.StructType([T.StructField("ms", T.LongType())]))
+        self.mark = handle.getValueState("mark", T.StructType([T.StructField("ms", T.LongType())]), self.idle)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         mark = self.mark.get()[0] if self.mark.exists() else None
@@ -203,5 +205,6 @@ class KeyedWatermark(StatefulProcessor):
         pass
 
 
-def keyed_watermark(df: DataFrame, keys: list[str], ms: str, delay_ms: int) -> DataFrame:
-    return df.groupBy(*keys).transformWithStateInPandas(KeyedWatermark(ms, delay_ms), df.schema, "Append", "None")
+def keyed_watermark(df: DataFrame, keys: list[str], ms: str, delay_ms: int = 5000, idle_ms: int | None = None) -> DataFrame:
+    """df without the rows below their key's own watermark; with idle_ms (for queries that keep running) idle keys are evicted. Needs the RocksDB state store."""
+    return df.groupBy(*keys).transformWithStateInPandas(KeyedWatermark(ms, delay_ms, idle_ms), df.schema, "Append", "None" if idle_ms is None else "ProcessingTime")
