@@ -47,3 +47,19 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_stream_results_stay_with_the_executors(spark):
+    """The driver once held all rows of a stream in its memory sink; they are files that all executors see, and no state is left."""
+    for name in ("stream_session", "stream_emit_update"):
+        plan = QUERIES[name](spark, str(DATA))._jdf.queryExecution().optimizedPlan().toString()
+        assert "MemoryPlan" not in plan and "parquet" in plan
+    files = suite._run(suite._stream(spark, str(DATA)).select("event_id")).inputFiles()
+    (base,) = {Path(f.removeprefix("file:")).parents[2] for f in files}
+    assert [p.name for p in base.iterdir()] == ["out"]
+
+
+def test_stream_without_files_has_no_rows(spark, tmp_path):
+    source = spark.readStream.schema("a long").parquet(str(tmp_path))
+    out = suite._run(source)
+    assert out.columns == ["a"] and out.count() == 0

@@ -5,6 +5,7 @@ their last digits depend on the order of the rows."""
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 from .functions.time import millis
 from .operators import changelog, joins, topk, windows
 from .operators.aggregates import ohlc, retractable
+from .sources.connectors import write_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 HOUR = 3_600_000
@@ -391,6 +393,16 @@ def upsert_latest(spark, d):
 # --- streams, run over what there is and read back -----------------------------------------------
 
 
+def folder(spark: SparkSession) -> str:
+    """A new folder in the one that all executors share; a local one only where driver and executors are one process."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
+        base = tempfile.mkdtemp(prefix="tidewell-")
+    return f"{base}/engine-{uuid.uuid4().hex}"
+
+
 def _stream(spark, d) -> DataFrame:
     """events as a stream, with its event time and no watermark yet."""
     schema = read(spark, d, "events").schema
@@ -399,11 +411,16 @@ def _stream(spark, d) -> DataFrame:
 
 
 def _run(df: DataFrame, mode: str = "append") -> DataFrame:
-    """The rows that a streaming query puts out until its source is read."""
-    name = f"out_{uuid.uuid4().hex}"
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """The rows that a streaming query puts out until its source is read. Executors write them to the shared folder; the driver holds none."""
+    spark, base = df.sparkSession, folder(df.sparkSession)
+    q = df.writeStream.foreachBatch(lambda batch, i: write_files(batch, {"path": f"{base}/out"}, i)).option("checkpointLocation", f"{base}/state").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    state = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/state")
+    fs = state.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(state, True)  # no later query goes on from it
+    if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{base}/out")):  # no batch has come
+        return spark.createDataFrame([], df.schema)
+    return spark.read.schema(df.schema).parquet(f"{base}/out").select(*df.columns)
 
 
 @query(EV + f", m AS (SELECT max(ms) - {HOUR} AS wm FROM ev) SELECT event_type, ms - ms % {HOUR} AS window_start, count(*) AS n, max(value) AS high FROM ev, m WHERE ms - ms % {HOUR} + {HOUR} <= wm GROUP BY 1, 2")

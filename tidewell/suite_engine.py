@@ -5,8 +5,6 @@ a window is out once the watermark, an hour behind the latest event, has reached
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,7 +15,7 @@ from pyspark.sql import types as T
 from .engine import Engine
 from .operators import changelog, joins
 from .sources import formats
-from .suite import DAY, EV, HOUR, events, read
+from .suite import DAY, EV, HOUR, events, folder, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -28,16 +26,6 @@ _WATERMARK = "WATERMARK FOR ts AS ts - INTERVAL '1' HOUR"
 MARK = f", m AS (SELECT max(ms) - {HOUR} AS wm FROM ev) "
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder in the one that all executors share; a local one only where driver and executors are one process."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
-        base = tempfile.mkdtemp(prefix="tidewell-")
-    return f"{base}/engine-{uuid.uuid4().hex}"
-
-
 def files(d: str, name: str = "events", more: str = "") -> str:
     """The events table as a source of files. A stream's plain path has to be a folder and the table may be one file, so it is a pattern."""
     return f"CREATE SOURCE {name} ({_COLUMNS}, {_WATERMARK}) FROM files (path = '{d}/events.parque[t]', format = 'parquet'{more});"
