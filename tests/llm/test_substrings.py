@@ -53,6 +53,17 @@ def test_hot_names_and_long_texts(make, corpus, monkeypatch):
     assert many.max() > 200  # the line's name is hot
 
 
+def test_rows_grow_with_the_text(make, corpus, monkeypatch):
+    """Each chunk once sent a row to each block of 3 MB, so 12 times the text had 144 times the rows; a block is now sorted in parts."""
+    rows = lambda total: -(-total // substrings.CHUNK_BYTES) * substrings._buckets(total)
+    assert rows(10 << 30) <= 24 * rows(864 << 20)
+    monkeypatch.setattr(substrings, "LEAST_BUCKETS", 1)
+    monkeypatch.setattr(substrings, "SORT_BYTES", 5000)
+    monkeypatch.setattr(substrings, "CHUNK_BYTES", 20_000)
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.digests(make(corpus)).collect())
+    assert got == brute(corpus)
+
+
 def test_remaining_texts(make):
     twice = "é" * 30 + "x" * 30
     rows = [(2, "A" + twice + "Z", "s"), (1, twice, "s"), (3, None, None), (4, "", None)]

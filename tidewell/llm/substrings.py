@@ -21,11 +21,11 @@ to the last one's end.
 3. Each chunk sends its distinct stretches with repeated names, each once with the smallest
    document that has it, to the block of the name; so a passage that a third of all
    documents hold arrives once a chunk.
-4. Each block joins its distinct stretches (but those alone with their name, which can agree with
-   no other) to one text and sorts its suffixes a bucket at a time
-   (suffix.py): by their first 64 bytes, and what is still equal by the precomputed ranks of
-   suffixes at difference-cover positions. Memory is bounded by a block's text, the sample's
-   ranks and one bucket. It answers each stretch with the smallest document of each string.
+4. Each block takes its names in parts of about SORT_BYTES of text. It joins a part's distinct
+   stretches (but those alone with their name, which can agree with no other) to one text and sorts
+   its suffixes a bucket at a time (suffix.py): by their first 64 bytes, and what is still equal by
+   the precomputed ranks of suffixes at difference-cover positions. Memory is bounded by a block's
+   stretches and answers, and a part's ranks and one bucket. It answers each stretch with the smallest document of each string.
 5. Chunks turn answers into spans of bytes, and documents are cut.
 
 Defined cases: null text counts as empty; matches never cross documents; a null doc_id counts
@@ -51,10 +51,13 @@ from .textops import frugal, mix, slices, span_hashes, utf8
 LENGTH = 50
 GRAM = 16
 CHUNK_BYTES = 1 << 20
-BLOCK_BYTES = 3 << 20
+#: Text of a bucket, at most. A chunk has a row a bucket, so rows grow with chunks times buckets: few, large
+#: buckets keep them in proportion to the text. Blocks sort a bucket in parts of SORT_BYTES.
+BLOCK_BYTES = 32 << 20
+SORT_BYTES = 1 << 20
 #: Distinct stretches of one name beyond which its strings get names of their own.
 HOT = 20_000
-LEAST_BUCKETS = 64
+LEAST_BUCKETS = 256
 LAST = (1 << 63) - 1
 U = np.uint64
 
@@ -155,6 +158,11 @@ def chunks(docs: DataFrame) -> DataFrame:
 _CHUNK = ["chunk", "size", "ids", "th", "base", "offs", "data"]
 
 
+def _buckets(total: int) -> int:
+    """Number of buckets (a power of 2) for so many bytes of text."""
+    return max(LEAST_BUCKETS, 1 << (max(1, -(-total // BLOCK_BYTES)) - 1).bit_length())
+
+
 def _bucket(names: np.ndarray, buckets: int) -> np.ndarray:
     return (names >> U(58 - (buckets.bit_length() - 1))).astype(np.int64)
 
@@ -354,33 +362,54 @@ def smallest(text: np.ndarray, size: np.ndarray, least: np.ndarray, length: int
     return out
 
 
+def _of_part(data: np.ndarray, size: np.ndarray, name: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest document of each string of the distinct stretches, and where each stretch's first one stands there."""
+    at = np.r_[0, np.cumsum(size)[:-1]]
+    # Equal stretches of several chunks are one.
+    h = _hashes(data, at, size)
+    order = np.lexsort((least, h[:, 1], h[:, 0]))
+    x = h[order]
+    new = np.r_[True, (x[1:] != x[:-1]).any(1)]
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    one = order[new]
+    count = size[one] - LENGTH + 1
+    begin = np.r_[0, np.cumsum(count)[:-1]]
+    # A name's only stretch has no other to agree with; its strings are its own. (32 bits of names may meet by chance.)
+    _, of, several = np.unique(name[one], return_inverse=True, return_counts=True)
+    sort = several[of] > 1
+    found = np.repeat(least[one], count)
+    found[np.repeat(sort, count)] = smallest(_gather(data, at[one][sort], size[one][sort]), size[one][sort], least[one][sort])
+    return begin[which], found
+
+
 def _answered(sent: DataFrame) -> DataFrame:
     """chunk, bucket and the smallest document of every string of every stretch that the chunk sent."""
 
     def run(key, t):
-        texts = [_unpack(x, np.uint8) for x in t.column("text").to_pylist()]
-        sizes = [_unpack(x, np.int32).astype(np.int64) for x in t.column("sizes").to_pylist()]
-        data, size = np.concatenate(texts), np.concatenate(sizes)
-        least = np.concatenate([_unpack(x, np.int64) for x in t.column("ids").to_pylist()])
+        size, name, least = ([_unpack(x, kind) for x in t.column(c).to_pylist()] for c, kind in (("sizes", np.int32), ("names", np.uint32), ("ids", np.int64)))
+        bounds = np.r_[0, np.cumsum([len(x) for x in size])]
+        size, name, least = np.concatenate(size).astype(np.int64), np.concatenate(name), np.concatenate(least)
+        data, count = np.empty(size.sum(), np.uint8), size - LENGTH + 1
+        a = 0
+        for x in t.column("text"):
+            x = _unpack(x.as_py(), np.uint8)
+            data[a : a + len(x)] = x
+            a += len(x)
         at = np.r_[0, np.cumsum(size)[:-1]]
-        # Equal stretches of several chunks are one.
-        h = _hashes(data, at, size)
-        order = np.lexsort((least, h[:, 1], h[:, 0]))
-        x = h[order]
-        new = np.r_[True, (x[1:] != x[:-1]).any(1)]
-        which = np.empty(len(order), np.int64)
-        which[order] = np.cumsum(new) - 1
-        one = order[new]
-        count = size[one] - LENGTH + 1
-        begin = np.r_[0, np.cumsum(count)[:-1]]
-        # A name's only stretch has no other to agree with; its strings are its own. (32 bits of names may meet by chance.)
-        name = np.concatenate([_unpack(x, np.uint32) for x in t.column("names").to_pylist()])[one]
-        _, of, several = np.unique(name, return_inverse=True, return_counts=True)
-        sort = several[of] > 1
-        found = np.repeat(least[one], count)
-        found[np.repeat(sort, count)] = smallest(_gather(data, at[one][sort], size[one][sort]), size[one][sort], least[one][sort])
-        bounds = np.r_[0, np.cumsum([len(x) for x in sizes])]
-        out = [_pack(_gather(found, begin[w], count[w])) for a, z in zip(bounds[:-1], bounds[1:], strict=True) for w in [which[a:z]]]
+        parts = -(-len(data) // SORT_BYTES)
+        # Equal strings have equal names, so they are in one part.
+        part = (name.astype(U) * U(parts) >> U(32)).astype(np.int64)
+        begin, found, total = np.empty(len(size), np.int64), [], 0
+        for p in range(parts):
+            own = np.flatnonzero(part == p)
+            if len(own):
+                here, answers = _of_part(_gather(data, at[own], size[own]), size[own], name[own], least[own])
+                begin[own] = here + total
+                found.append(answers)
+                total += len(answers)
+        found = np.concatenate(found)
+        out = [_pack(_gather(found, begin[a:z], count[a:z])) for a, z in zip(bounds[:-1], bounds[1:], strict=True)]
         return pa.table({"chunk": t.column("chunk"), "bucket": t.column("bucket"), "least": pa.array(out, pa.binary())})
 
     return sent.where("bucket >= 0").groupBy("bucket").applyInArrow(run, "chunk long, bucket long, least binary")
@@ -398,7 +427,7 @@ def spans(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     packed = cut(chunks(docs))
     total = packed.agg(F.sum("size")).head()[0] or 0
-    buckets = max(LEAST_BUCKETS, 1 << (max(1, -(-total // BLOCK_BYTES)) - 1).bit_length())
+    buckets = _buckets(total)
     answers = cut(_repeated(_names(packed, buckets), HOT))
     release(spark)
     sent = cut(_sent(packed.join(_gathered(answers, "got"), "chunk"), buckets))

@@ -97,6 +97,9 @@ class Sample:
             step *= 2
         self.rank, self.at, self.order = rank, at, order
 
+    def ranks(self, positions: np.ndarray) -> np.ndarray:
+        return np.where(positions < self.n, self.rank[self.place[np.minimum(positions, self.n)]], -1)
+
     def of(self, position: int) -> int:
         return -1 if position >= self.n else int(self.rank[self.place[position]])
 
@@ -133,13 +136,19 @@ def sorted_buckets(text: np.ndarray, among: np.ndarray | None = None, period: in
         if len(tied):
             begins = tied[np.r_[True, np.diff(tied) > 1]] - 1
             ends = tied[np.r_[np.diff(tied) > 1, True]] + 1
-            for a, b in zip(begins.tolist(), ends.tolist(), strict=True):
+            # Most runs are pairs: all of them are compared at once.
+            pair = ends - begins == 2
+            left = begins[pair]
+            i, j = own[left], own[left + 1]
+            shift = (first[(j - i) % period] - i) % period
+            turn = sample.ranks(i + shift) > sample.ranks(j + shift)
+            own[left[turn]], own[left[turn] + 1] = j[turn], i[turn]
+            for a, b in zip(begins[~pair].tolist(), ends[~pair].tolist(), strict=True):
                 run = own[a:b]
                 if len(np.unique(run % period)) == 1:  # one distance serves all
                     shift = int(first[0] - run[0]) % period
                     later = run + shift
-                    ranks = np.where(later < len(text), sample.rank[sample.place[np.minimum(later, len(text))]], -1)
-                    own[a:b] = run[np.argsort(ranks, kind="stable")]
+                    own[a:b] = run[np.argsort(sample.ranks(later), kind="stable")]
                 else:
                     own[a:b] = sorted(run.tolist(), key=cmp_to_key(compare))
         yield own
